@@ -102,8 +102,10 @@ def corpus_problems(corpus: DataFrame) -> DataFrame:
         F.count_if(~F.coalesce(F.col("expected_severity"), F.lit("")).isin(*SEVERITIES)).alias("invalid_severity"))
 
 
-def observe_counts(events: DataFrame, name: str = "events") -> tuple[DataFrame, Observation]:
-    """Written and skipped rows, counted while the events pass by."""
-    seen = Observation(name)
-    return events.observe(seen, F.count_if(F.col("error").isNull()).alias("written"),
-                          F.count_if(F.col("error").isNotNull()).alias("skipped")), seen
+def observe_counts(events: DataFrame, into: Observation | str) -> DataFrame:
+    """Written and skipped rows, counted while the events pass by.
+
+    Give an ``Observation`` for a batch, a name for a stream (see ``CountListener``).
+    """
+    return events.observe(into, F.count_if(F.col("error").isNull()).alias("written"),
+                          F.count_if(F.col("error").isNotNull()).alias("skipped"))

@@ -31,7 +31,9 @@ def _no_metadata() -> Column:
 
 
 def _raw_log(rows: DataFrame, ts: Column, source: str, raw: Column, metadata: Column, *keep: str) -> DataFrame:
-    return rows.select(F.monotonically_increasing_id().alias("seq"), ts.alias("ts"), F.lit(source).alias("source"),
+    # A stream is numbered per micro-batch, where its order is known.
+    seq = F.lit(None).cast("long") if rows.isStreaming else F.monotonically_increasing_id()
+    return rows.select(seq.alias("seq"), ts.alias("ts"), F.lit(source).alias("source"),
                        raw.alias("raw"), metadata.alias("metadata"), *keep)
 
 
