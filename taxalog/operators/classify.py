@@ -6,6 +6,7 @@ label where it is: no join, no shuffle, no Python for the lexical form.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -23,10 +24,13 @@ UNCLASSIFIED = "UNCLASSIFIED"
 MATCH = "struct<ord:int,similarity:double>"
 
 
+def _unranked(best: Column) -> Column:
+    return F.struct((-best["rank"]).cast("int").alias("ord"), best["similarity"].alias("similarity"))
+
+
 def _best(scores: list[tuple[int, Column]]) -> Column:
     ranked = F.array(*[F.struct(sim.alias("similarity"), F.lit(-ord_).alias("rank")) for ord_, sim in scores])
-    return let(F.array_max(ranked), lambda b: F.struct((-b["rank"]).cast("int").alias("ord"),
-                                                       b["similarity"].alias("similarity")))
+    return let(F.array_max(ranked), _unranked)
 
 
 def no_match() -> Column:
@@ -41,25 +45,37 @@ def label_words(labels: DataFrame) -> list[tuple[int, list[str]]]:
     return [(row["ord"], row["tokens"]) for row in rows]
 
 
+def constant(value, schema: str) -> Column:
+    """A nested literal; the optimizer folds it before execution."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def lexical_match(text: Column, labels: DataFrame) -> Column:
     """Cosine of word sets: shared words over the root of both set sizes."""
     sets = label_words(labels)
     if not sets:
         return no_match()
-    vocabulary = sorted(set().union(*[tokens for _, tokens in sets]))
-
-    def score(parts, tokens):
-        shared = F.size(F.filter(parts["shared"], lambda t: t.isin(*tokens)))
-        return shared / F.sqrt((parts["n"] * len(tokens)).cast("double"))
+    holders = defaultdict(list)
+    for ord_, tokens in sets:
+        for token in tokens:
+            holders[token].append(ord_)
+    labels_of = constant(holders, "map<string, array<int>>")
+    sizes = constant([{"ord": ord_, "n": len(tokens)} for ord_, tokens in sets], "array<struct<ord int, n bigint>>")
+
+    def score(parts, label):
+        dot = F.size(F.filter(parts["hits"], lambda ord_: ord_ == label["ord"]))
+        similarity = F.when(dot > 0, dot / F.sqrt((parts["n"] * label["n"]).cast("double"))).otherwise(0.0)
+        return F.struct(similarity.alias("similarity"), (-label["ord"]).alias("rank"))
 
     def compare(parts):
-        scores = [(ord_, score(parts, tokens) if tokens else F.lit(0.0)) for ord_, tokens in sets]
+        best = let(F.array_max(F.transform(sizes, lambda label: score(parts, label))), _unranked)
         nothing = F.struct(F.lit(sets[0][0]).alias("ord"), F.lit(0.0).alias("similarity"))
-        return F.when(F.size(parts["shared"]) == 0, nothing).otherwise(_best(scores))
+        return F.when(F.size(parts["hits"]) == 0, nothing).otherwise(best)
 
     def prepare(tokens):
+        shared = F.array_intersect(tokens, F.map_keys(labels_of))
         return F.struct(F.size(tokens).cast("long").alias("n"),
-                        F.array_intersect(tokens, F.lit(vocabulary)).alias("shared"))
+                        F.flatten(F.transform(shared, lambda t: F.element_at(labels_of, t))).alias("hits"))
     return let(let(F.array_distinct(words(text)), prepare), compare)
 
 
@@ -172,13 +188,11 @@ def resolve(match: Column, labels: DataFrame, threshold: float) -> Column:
     if not rows:
         return F.struct(F.lit(UNCLASSIFIED).alias("path"), F.lit("warning").alias("severity"),
                         F.lit(0.0).alias("confidence"))
-    at = {row["ord"]: i + 1 for i, row in enumerate(rows)}
-    index = match["ord"] + 1
-    if any(ord_ + 1 != i for ord_, i in at.items()):
-        index = F.array_position(F.lit(list(at)), match["ord"]).cast("int")
+    known = constant({row["ord"]: {"path": row["path"], "severity": row["severity"]} for row in rows},
+                     "map<string, struct<path string, severity string>>")
+    label = F.element_at(known, match["ord"].cast("string"))
+    path, severity = label["path"], label["severity"]
     hit = match["similarity"] >= threshold
-    path = F.element_at(F.lit([r["path"] for r in rows]), index)
-    severity = F.element_at(F.lit([r["severity"] for r in rows]), index)
     return F.struct(F.when(hit, path).otherwise(F.lit(UNCLASSIFIED)).alias("path"),
                     F.when(hit, severity).otherwise(F.lit("warning")).alias("severity"),
                     match["similarity"].alias("confidence"))

@@ -79,10 +79,10 @@ def embed_once(rows: DataFrame, key: str, compute: Callable[[DataFrame], DataFra
     hot = (copies.join(F.broadcast(limit), F.col("_n") > F.col("_limit"))
            .select(key, F.lit(True).alias("_hot")))
     marked = rows.join(F.broadcast(hot), key, "left")
-    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(seq), F.lit(salts))).otherwise(0))
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(seq), F.lit(salts)).cast("int")).otherwise(0))
     results = (compute(copies.select(key)).join(F.broadcast(hot), key, "left")
                .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                              .otherwise(F.array(F.lit(0)))).cast("long"))
+                                              .otherwise(F.array(F.lit(0)))))
                .drop("_hot"))
     return salted.join(results, [key, "_salt"], "left").drop("_hot", "_salt")
 
