@@ -93,19 +93,31 @@ def nearest_label_sparse(docs: DataFrame, terms: DataFrame, label_terms: DataFra
     with a label get the first label with similarity 0. Works for label sets of
     any size: Spark broadcasts the label side only when it is small.
     """
-    label_norms = label_terms.groupBy("ord").agg(F.sum(F.col("weight") * F.col("weight")).alias("label_norm"))
-    side = label_terms.join(label_norms, "ord").withColumnRenamed("weight", "label_weight")
-    norms = terms.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("norm"))
-    dots = (terms.join(side, "token").groupBy(key, "ord", "label_norm")
-            .agg(F.sum(F.col("weight") * F.col("label_weight")).alias("dot")))
-    sim = F.col("dot") / F.sqrt((F.col("norm") * F.col("label_norm")).cast("double"))
-    first = label_norms.agg(F.min("ord").alias("first_ord"))
-    best = (dots.join(norms, key).groupBy(key)
-            .agg(F.max(F.struct(sim.alias("similarity"), (-F.col("ord")).alias("rank"))).alias("best")))
+    w = F.col("weight")
+    norms = label_terms.groupBy("ord").agg(F.sum(w * w).alias("label_norm"))
+    by_token = (label_terms.join(norms, "ord").groupBy("token")
+                .agg(F.collect_list(F.struct("ord", w.alias("label_weight"), "label_norm")).alias("labels")))
+    # A term adds to the norm of its document and to every label that has it, so
+    # one pass over the terms gives both; the norm travels as a label without ord.
+    none = F.lit(None).cast(label_terms.schema["ord"].dataType)
+    own = F.struct(none.alias("ord"), F.lit(None).cast("long").alias("label_norm"), (w * w).alias("part"))
+    shared = F.transform("labels", lambda x: F.struct(
+        x["ord"].alias("ord"), x["label_norm"].cast("long").alias("label_norm"), (w * x["label_weight"]).alias("part")))
+    parts = (terms.join(by_token, "token", "left")
+             .select(key, F.inline(F.concat(F.array(own), F.coalesce(shared, F.array())))))
+    sums = parts.groupBy(key, "ord", "label_norm").agg(F.sum("part").alias("dot"))
+    per_doc = sums.groupBy(key).agg(
+        F.max(F.when(F.col("ord").isNull(), F.col("dot"))).alias("norm"),
+        F.collect_list(F.when(F.col("ord").isNotNull(), F.struct("ord", "label_norm", "dot"))).alias("dots"))
+
+    def score(x):
+        sim = x["dot"] / F.sqrt((F.col("norm") * x["label_norm"]).cast("double"))
+        return F.struct(sim.alias("similarity"), (-x["ord"]).alias("rank"))
+    best = per_doc.select(key, F.array_max(F.transform("dots", score)).alias("best"))
+    first = norms.agg(F.min("ord").cast("int").alias("first_ord"))
     return (docs.join(best, key, "left").join(F.broadcast(first))
-            .withColumn("match", F.when(F.col("best").isNotNull(), F.struct(
-                (-F.col("best.rank")).cast("int").alias("ord"), F.col("best.similarity").alias("similarity")))
-                .otherwise(F.struct(F.col("first_ord").alias("ord"), F.lit(0.0).alias("similarity"))))
+            .withColumn("match", F.when(F.col("best").isNotNull(), _unranked(F.col("best"))).otherwise(
+                F.struct(F.col("first_ord").alias("ord"), F.lit(0.0).alias("similarity"))))
             .drop("best", "first_ord"))
 
 

@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,25 +126,50 @@ def word_pieces(token: str, vocab: dict[str, int]) -> list[int]:
 
 def word_piece_ids(text: Column, vocab, max_tokens: int = MAX_TOKENS) -> Column:
     """``struct<ids, n_tokens, n_unk, truncated>``; ``vocab`` is a dict or a broadcast of one."""
-    @F.pandas_udf("ids array<bigint>, n_tokens int, n_unk int, truncated boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<ids:array<bigint>,n_tokens:int,n_unk:int,truncated:boolean>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = vocab if isinstance(vocab, dict) else vocab.value
-        cls, sep, unk = known["[CLS]"], known["[SEP]"], known["[UNK]"]
-        for batch in batches:
-            pieces, out = {}, []
-            for tokens in batch:
-                ids = []
-                for token in () if tokens is None else tokens:
-                    if token not in pieces:
-                        pieces[token] = word_pieces(token, known)
-                    ids += pieces[token]
-                kept = ids[:max_tokens - 2]
-                out.append(([cls, *kept, sep], len(kept) + 2, kept.count(unk), len(ids) > len(kept)))
-            yield pd.DataFrame(out, columns=["ids", "n_tokens", "n_unk", "truncated"])
+        for tokens in batches:
+            yield _piece_batch(tokens, known, max_tokens)
 
     return run(basic_tokens(text))
 
 
+def _running(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def _piece_batch(tokens: pa.Array, vocab: dict[str, int], max_tokens: int) -> pa.Array:
+    """Pieces of each distinct token once; everything per row is array arithmetic."""
+    coded = tokens.flatten().dictionary_encode()
+    pieces = [word_pieces(t, vocab) for t in coded.dictionary.to_pylist()]
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    table = np.array([i for p in pieces for i in p], dtype=np.int64)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+
+    # All ids of the batch in order: piece start of each token plus position in it.
+    at = _running(sizes[codes]) if len(codes) else np.zeros(1, dtype=np.int64)
+    steps = np.repeat(_running(sizes)[:-1][codes] - at[:-1], sizes[codes]) if len(codes) else np.zeros(0, dtype=np.int64)
+    ids = table[steps + np.arange(at[-1])]
+
+    row_start = at[_running(tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+    totals = np.diff(row_start)
+    kept = np.minimum(totals, max_tokens - 2)
+    inside = np.arange(len(ids)) - np.repeat(row_start[:-1], totals)
+    ids = ids[inside < max_tokens - 2]
+
+    offsets = _running(kept + 2)
+    out = np.empty(offsets[-1], dtype=np.int64)
+    body = np.ones(len(out), dtype=bool)
+    body[offsets[:-1]] = body[offsets[1:] - 1] = False
+    out[offsets[:-1]], out[offsets[1:] - 1], out[body] = vocab["[CLS]"], vocab["[SEP]"], ids
+    unknown = _running(out == vocab["[UNK]"])
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out)), pa.array(kept + 2, pa.int32()),
+         pa.array(unknown[offsets[1:]] - unknown[offsets[:-1]], pa.int32()), pa.array(totals > kept)],
+        ["ids", "n_tokens", "n_unk", "truncated"])
+
+
 def pad_ids(ids: list[list[int]], pad: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids and mask padded to the longest row of the batch."""
     lengths = np.array([len(row) for row in ids])

@@ -31,6 +31,19 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def spread_small(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a table with too few splits for the cluster out to all cores.
+
+    Tokenizing costs far more than moving a row once, so a small table should not
+    be handled by a few tasks. A table with enough splits is left where it is.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size * 2 < cores * split else rows
+
+
 def query(spark: SparkSession, source: str, sinks: list[Sink], start: datetime, end: datetime,
           normalizer: Normalizer | None = None, dedup: bool = True, order: str = "arrival",
           **source_options) -> DataFrame:
@@ -43,7 +56,7 @@ def query(spark: SparkSession, source: str, sinks: list[Sink], start: datetime,
     normalizer = normalizer or Normalizer(spark)
     options = normalizer.options
     rows = sources.read(spark, source, start=start, end=end, n=options.limit, **source_options)
-    events = stored(normalize(default_time(rows), normalizer.labels, normalizer.embedder, options), "events")
+    events = stored(normalize(default_time(spread_small(rows)), normalizer.labels, normalizer.embedder, options), "events")
     good, rejected = split_rejects(events)
     if dedup:
         good = deduplicate(good, options.dedup_window_s, order)
