@@ -114,11 +114,11 @@ def nearest_label_sparse(docs: DataFrame, terms: DataFrame, label_terms: DataFra
         sim = x["dot"] / F.sqrt((F.col("norm") * x["label_norm"]).cast("double"))
         return F.struct(sim.alias("similarity"), (-x["ord"]).alias("rank"))
     best = per_doc.select(key, F.array_max(F.transform("dots", score)).alias("best"))
-    first = norms.agg(F.min("ord").cast("int").alias("first_ord"))
-    return (docs.join(best, key, "left").join(F.broadcast(first))
-            .withColumn("match", F.when(F.col("best").isNotNull(), _unranked(F.col("best"))).otherwise(
-                F.struct(F.col("first_ord").alias("ord"), F.lit(0.0).alias("similarity"))))
-            .drop("best", "first_ord"))
+    first = label_terms.agg(F.min("ord")).first()[0]
+    nothing = F.lit(None) if first is None else F.struct(F.lit(first).cast("int").alias("ord"), F.lit(0.0).alias("similarity"))
+    return (docs.join(best, key, "left")
+            .withColumn("match", F.when(F.col("best").isNotNull(), _unranked(F.col("best"))).otherwise(nothing))
+            .drop("best"))
 
 
 # --- dense --------------------------------------------------------------------

@@ -67,24 +67,23 @@ def embed_labels(labels: DataFrame, load: Callable[[], Model]) -> DataFrame:
 
 
 def embed_once(rows: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], seq: str = "seq",
-               hot_share: int = 1000, salts: int = 64) -> DataFrame:
+               n_hot: int = 1000, salts: int = 64) -> DataFrame:
     """Run ``compute`` on each distinct ``key`` and join the result back.
 
-    Worth its shuffles only for a model that costs more than moving a row. A
-    text held by more than 1/``hot_share`` of the rows is hot: its rows are
-    spread over ``salts`` partitions and its single result row is repeated for
-    each. There are fewer than ``hot_share`` hot texts, whatever the input size.
+    Worth its shuffles only for a model that costs more than moving a row. The
+    ``n_hot`` most frequent texts count as hot, a list of fixed length that can
+    be broadcast: their rows are spread over ``salts`` partitions, and their
+    single result row is repeated for each.
     """
     copies = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    limit = copies.agg((F.sum("_n") / hot_share).alias("_limit"))
-    hot = (copies.join(F.broadcast(limit), F.col("_n") > F.col("_limit"))
+    hot = (copies.filter("_n > 1").orderBy(F.desc("_n"), key).limit(n_hot)
            .select(key, F.lit(True).alias("_hot")))
-    marked = rows.join(F.broadcast(hot), key, "left")
-    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(seq), F.lit(salts)).cast("int")).otherwise(0))
+    salt = F.pmod(F.xxhash64(seq), F.lit(salts)).cast("int")
+    salted = (rows.join(F.broadcast(hot), key, "left")
+              .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)))
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     results = (compute(copies.select(key)).join(F.broadcast(hot), key, "left")
-               .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                              .otherwise(F.array(F.lit(0)))))
-               .drop("_hot"))
+               .withColumn("_salt", F.explode(each)).drop("_hot"))
     return salted.join(results, [key, "_salt"], "left").drop("_hot", "_salt")
 
 

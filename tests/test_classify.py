@@ -145,7 +145,7 @@ def test_no_labels(spark):
 def test_embed_once_with_a_hot_text(spark):
     rows = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.concat(F.lit("t"), (F.col("id") % 700).cast("string"))).alias("text"))
-    out = embed.embed_once(rows, "text", lambda d: d.withColumn("n", F.length("text")), hot_share=100, salts=8)
+    out = embed.embed_once(rows, "text", lambda d: d.withColumn("n", F.length("text")), n_hot=3, salts=8)
     assert out.count() == 5000
     assert out.filter("n <> length(text) or n is null").count() == 0
 
