@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from taxalog.functions.text import let, words
 from taxalog.functions.vectors import cosine, to_matrix
-from taxalog.operators.embed import Model, embed_labels, embed_text
+from taxalog.operators.embed import Model, embed_labels, embed_text, encode_ids, with_vectors, word_piece_ids
 from taxalog.operators.taxonomy import collect_labels
 
 UNCLASSIFIED = "UNCLASSIFIED"
@@ -184,6 +184,22 @@ class ModelEmbedder:
         return dense_match(embedded["vector"], embed_labels(labels, self.load)), embedded["error"]
 
 
+class TransformerEmbedder:
+    """WordPiece ids in the JVM and Arrow, a user's network in the workers, pooling and projection around it."""
+
+    def __init__(self, vocab, load: Callable[[], Callable], weights: np.ndarray | None = None):
+        self.vocab, self.load, self.weights = vocab, load, weights
+
+    def encode(self, text: Column) -> Column:
+        ids = word_piece_ids(text, self.vocab)["ids"]
+        return encode_ids(F.when(text.isNotNull(), ids), self.load, self.weights)
+
+    def match(self, text: Column, labels: DataFrame) -> tuple[Column, Column]:
+        embedded = self.encode(text)
+        return (dense_match(embedded["vector"], with_vectors(labels, self.encode(F.col("embed_text")))),
+                embedded["error"])
+
+
 # --- result columns -----------------------------------------------------------
 
 def path_type(path: Column) -> Column:

@@ -24,7 +24,7 @@ class Model(Protocol):
         """One row of float32 per text."""
 
 
-def _embed_batch(model: Model, texts: list[str]) -> list[tuple]:
+def _embed_batch(model: Model, texts: list) -> list[tuple]:
     """Vectors, or for a failing batch one call per text so one bad row stays alone."""
     try:
         return [(v, None) for v in np.asarray(model.embed(texts), dtype=np.float32)]
@@ -59,11 +59,14 @@ def embed_text(text: Column, load: Callable[[], Model]) -> Column:
 
 
 def embed_labels(labels: DataFrame, load: Callable[[], Model]) -> DataFrame:
-    """Label vectors; a failure here fails the run instead of a row."""
-    result = embed_text(F.col("embed_text"), load)
+    return with_vectors(labels, embed_text(F.col("embed_text"), load))
+
+
+def with_vectors(labels: DataFrame, embedded: Column) -> DataFrame:
+    """Label vectors, computed by one task; a failure here fails the run instead of a row."""
     checked = F.when(F.col("r.error").isNull(), F.col("r.vector")).otherwise(
         F.raise_error(F.concat(F.lit("embedding of label "), F.col("path"), F.lit(" failed: "), F.col("r.error"))))
-    return labels.coalesce(1).withColumn("r", result).withColumn("vector", checked).drop("r")
+    return labels.coalesce(1).withColumn("r", embedded).withColumn("vector", checked).drop("r")
 
 
 def embed_once(rows: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], seq: str = "seq",
@@ -189,3 +192,39 @@ def token_report(ids: DataFrame, key: str = "source") -> DataFrame:
     return ids.groupBy(key).agg(
         F.count("*").alias("n_rows"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_unk").alias("n_unk"),
         F.count_if("truncated").alias("n_truncated"))
+
+
+def encode_ids(ids: Column, load: Callable[[], Callable], weights: np.ndarray | None = None) -> Column:
+    """Token ids through a model to one vector: infer, mean-pool, project.
+
+    ``load`` runs once per task and gives ``infer(ids, mask) -> [rows, positions,
+    dim]``; both arguments are padded to the longest row of the call.
+    """
+    def vectors(infer, rows: list[np.ndarray]) -> np.ndarray:
+        padded, mask = pad_ids(rows)
+        pooled = mean_pool(np.asarray(infer(padded, mask), dtype=np.float32), mask)
+        return pooled if weights is None else pooled @ np.asarray(weights, dtype=np.float32).T
+
+    class Encoder:
+        def __init__(self):
+            self.infer = load()
+
+        def embed(self, rows):
+            return vectors(self.infer, rows)
+
+    @F.pandas_udf("vector array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = None
+        for rows in batches:
+            lengths = rows.map(lambda r: 0 if r is None else len(r))
+            order = [i for i in np.argsort(lengths, kind="stable") if lengths.iloc[i]]
+            if order and encoder is None:
+                encoder = Encoder()
+            pairs = [(None, None)] * len(rows)
+            for start in range(0, len(order), BATCH):
+                chunk = order[start:start + BATCH]
+                for i, pair in zip(chunk, _embed_batch(encoder, [rows.iloc[i] for i in chunk])):
+                    pairs[i] = pair
+            yield pd.DataFrame({"vector": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
+
+    return run(ids)

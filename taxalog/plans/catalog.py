@@ -328,16 +328,16 @@ def bad_row_isolation(spark, t):
 
 # --- reports --------------------------------------------------------------------------
 
-@registered(f"""WITH {DENSE_SQL} SELECT count(*) AS total, count_if(path = expected_path) AS correct,
-  count_if(path <> expected_path AND path <> 'UNCLASSIFIED') AS incorrect, count_if(path = 'UNCLASSIFIED') AS unclassified,
-  round(count_if(path = expected_path) / count(*) * 100, 6) AS accuracy_pct FROM judged""")
+@registered(f"""WITH {DENSE_SQL} SELECT count(*) AS total, count(*) FILTER (path = expected_path) AS correct,
+  count(*) FILTER (path <> expected_path AND path <> 'UNCLASSIFIED') AS incorrect, count(*) FILTER (path = 'UNCLASSIFIED') AS unclassified,
+  round(count(*) FILTER (path = expected_path) / count(*) * 100, 6) AS accuracy_pct FROM judged""")
 def accuracy(spark, t):
     return evaluate.accuracy(dense_judged(t)).withColumn("accuracy_pct", r6("accuracy_pct"))
 
 
-@registered(f"""WITH {DENSE_SQL} SELECT expected_path, count(*) AS total, count_if(path = expected_path) AS correct,
-  count_if(path <> expected_path AND path <> 'UNCLASSIFIED') AS incorrect, count_if(path = 'UNCLASSIFIED') AS unclassified,
-  round(count_if(path = expected_path) / count(*) * 100, 6) AS accuracy_pct FROM judged GROUP BY 1""")
+@registered(f"""WITH {DENSE_SQL} SELECT expected_path, count(*) AS total, count(*) FILTER (path = expected_path) AS correct,
+  count(*) FILTER (path <> expected_path AND path <> 'UNCLASSIFIED') AS incorrect, count(*) FILTER (path = 'UNCLASSIFIED') AS unclassified,
+  round(count(*) FILTER (path = expected_path) / count(*) * 100, 6) AS accuracy_pct FROM judged GROUP BY 1""")
 def accuracy_by_label(spark, t):
     return evaluate.accuracy_by_path(dense_judged(t)).withColumn("accuracy_pct", r6("accuracy_pct"))
 
@@ -357,8 +357,8 @@ def confidence_distribution(spark, t):
 
 
 @registered(f"""WITH {DENSE_SQL}, th(threshold) AS (VALUES {', '.join(f'(CAST({x} AS DOUBLE))' for x in evaluate.THRESHOLDS)}),
-  c AS (SELECT threshold, count_if(confidence >= threshold AND path = expected_path) AS correct,
-          count_if(confidence >= threshold AND path <> expected_path) AS incorrect FROM judged, th GROUP BY 1)
+  c AS (SELECT threshold, count(*) FILTER (confidence >= threshold AND path = expected_path) AS correct,
+          count(*) FILTER (confidence >= threshold AND path <> expected_path) AS incorrect FROM judged, th GROUP BY 1)
   SELECT *, CASE WHEN correct + incorrect > 0 THEN round(correct / (correct + incorrect) * 100, 6) ELSE 0.0 END AS net_accuracy_pct FROM c""")
 def threshold_sweep(spark, t):
     return evaluate.threshold_sweep(dense_judged(t)).withColumn("net_accuracy_pct", r6("net_accuracy_pct"))
@@ -374,7 +374,7 @@ def threshold_suggestion(spark, t):
         r6("gap").alias("gap"), "overlap", r6("suggested").alias("suggested"))
 
 
-@registered(f"""WITH {DENSE_SQL} SELECT count(*) AS checked, count_if(severity <> expected_severity) AS mismatches
+@registered(f"""WITH {DENSE_SQL} SELECT count(*) AS checked, count(*) FILTER (severity <> expected_severity) AS mismatches
   FROM judged WHERE path = expected_path""")
 def severity_consistency(spark, t):
     return evaluate.severity_consistency(dense_judged(t))
@@ -392,9 +392,9 @@ def corpus_coverage(spark, t):
 
 
 @registered(f"""SELECT count(*) AS n_rows,
-  count_if(regexp_matches(CASE WHEN turn % 7 = 0 THEN ' ' ELSE text END, '^[{SPACE}]*$')) AS blank_raw,
-  count_if(role = 'user') AS blank_type, 0 AS blank_category, count_if(turn = 1) AS blank_severity,
-  count_if(turn = 1 OR role = 'assistant') AS invalid_severity FROM conversations""")
+  count(*) FILTER (regexp_matches(CASE WHEN turn % 7 = 0 THEN ' ' ELSE text END, '^[{SPACE}]*$')) AS blank_raw,
+  count(*) FILTER (role = 'user') AS blank_type, CAST(0 AS BIGINT) AS blank_category, count(*) FILTER (turn = 1) AS blank_severity,
+  count(*) FILTER (turn = 1 OR role = 'assistant') AS invalid_severity FROM conversations""")
 def corpus_problems(spark, t):
     corpus = t["conversations"].select(
         F.when(F.col("turn") % 7 == 0, " ").otherwise(F.col("text")).alias("raw"),
@@ -538,7 +538,7 @@ def redact_urls(spark, t):
 
 
 @registered(f"""SELECT conv_id, turn, 'UNCLASSIFIED' AS type, 'empty_input' AS category, 'warning' AS severity,
-  0.0 AS confidence, '' AS summary, CASE WHEN turn % 4 = 0 THEN chr(9) || ' ' || chr(10) || chr(160) ELSE '' END AS raw
+  CAST(0 AS DOUBLE) AS confidence, '' AS summary, CASE WHEN turn % 4 = 0 THEN chr(9) || ' ' || chr(10) || chr(160) ELSE '' END AS raw
   FROM conversations WHERE turn % 4 <= 1""")
 def empty_input(spark, t):
     raw = (F.when(F.col("turn") % 4 == 0, F.lit("\t \n ")).when(F.col("turn") % 4 == 1, F.lit(""))
@@ -588,14 +588,14 @@ WORD_PIECE_SQL = f"""
             WHERE regexp_full_match(c, '[a-y]')),
   g(token, rest, n) AS (SELECT token, token, 0 FROM cnt WHERE length(token) <= 200 UNION ALL
     SELECT token, substr(rest, 1 + max(length(p))), n + 1 FROM g JOIN piece ON starts_with(rest, p) WHERE rest <> '' GROUP BY token, rest, n),
-  split AS (SELECT cnt.token, coalesce(max(g.n) FILTER (rest = ''), 1) AS k, count_if(rest = '') = 0 AS unk
+  split AS (SELECT cnt.token, coalesce(max(g.n) FILTER (rest = ''), 1) AS k, count(*) FILTER (rest = '') = 0 AS unk
             FROM cnt LEFT JOIN g USING (token) GROUP BY cnt.token),
-  per_doc AS (SELECT doc_id, source, CAST(sum(k) AS BIGINT) AS k, count_if(unk) AS n_unk FROM tok JOIN split USING (token) GROUP BY doc_id, source)"""
+  per_doc AS (SELECT doc_id, source, CAST(sum(k) AS BIGINT) AS k, count(*) FILTER (unk) AS n_unk FROM tok JOIN split USING (token) GROUP BY doc_id, source)"""
 
 
 @registered(f"""WITH RECURSIVE {WORD_PIECE_SQL}
   SELECT source, count(*) AS n_rows, CAST(sum(k + 2) AS BIGINT) AS n_tokens, CAST(sum(n_unk) AS BIGINT) AS n_unk,
-         0 AS n_truncated FROM per_doc GROUP BY source""")
+         CAST(0 AS BIGINT) AS n_truncated FROM per_doc GROUP BY source""")
 def word_piece_report(spark, t):
     vocab = spark.sparkContext.broadcast(embed.collect_vocab(word_vocab(t)))
     ids = embed.word_piece_ids(F.col("text"), vocab, max_tokens=1_000_000_000)
@@ -799,7 +799,7 @@ def text_line_scan(spark, t):
 
 # --- events out ---------------------------------------------------------------------------
 
-@registered("""SELECT event_id AS seq, 'EVENT' AS type, event_type AS category, 0.0 AS confidence, '' AS raw FROM events""")
+@registered("""SELECT event_id AS seq, 'EVENT' AS type, event_type AS category, CAST(0 AS DOUBLE) AS confidence, '' AS raw FROM events""")
 def minimal_fields(spark, t):
     return event_fields(event_stream_rows(t["events"]), "minimal").select("seq", "type", "category", "confidence", "raw")
 

@@ -167,6 +167,23 @@ def test_word_pieces(spark):
         embed.check_vocab({"[PAD]": 0, "[UNK]": 1, "[CLS]": 2})
 
 
+def toy_network():
+    return lambda ids, mask: np.stack([ids == 4, ids == 5, ids * 0 + 1], axis=2).astype(np.float32)
+
+
+def test_transformer_embedder(spark):
+    vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "alpha", "beta"])}
+    weights = np.array([[1, 0, 0], [0, 1, 0]], dtype=np.float32)
+    embedder = classify.TransformerEmbedder(vocab, toy_network, weights)
+    roots = {"R": [taxonomy.Leaf("a", "info", "alpha"), taxonomy.Leaf("b", "error", "beta")]}
+    texts = ["alpha alpha", "beta", "", "alpha beta beta beta", "nothing"]
+    logs = spark.createDataFrame(list(enumerate(texts)), "seq long, raw string").withColumn("ts", F.timestamp_seconds("seq"))
+    out = normalize(logs, taxonomy.taxonomy(spark, roots), embedder).orderBy("seq").collect()
+    assert [r["category"] for r in out] == ["a", "b", "empty_input", "b", ""]
+    vector = logs.filter("seq = 3").select(embedder.encode(F.col("raw"))["vector"].alias("v")).first()["v"]
+    assert vector == pytest.approx([1 / 6, 3 / 6])
+
+
 def test_pooling_and_projection(spark):
     hidden = np.array([[[1., 2.], [3., 4.], [9., 9.]], [[5., 5.], [7., 7.], [1., 1.]]])
     assert embed.mean_pool(hidden, np.array([[1, 1, 0], [0, 0, 0]])).tolist() == [[2., 3.], [0., 0.]]
