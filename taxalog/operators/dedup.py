@@ -248,14 +248,16 @@ def anchored_groups(points: DataFrame, window_us: int, chunk_windows: int = CHUN
                     span_chunks: int = SPAN_CHUNKS, direct: bool = False) -> DataFrame:
     """Groups ``(key, anchor, n, latest, first_seq)`` of ``(key, ts, seq)`` rows, times in microseconds.
 
+    A column ``n`` says how many rows a point stands for, one by default.
     ``direct`` folds each key in one sorted pass, in one task. It saves the fixed
     cost of the steps and is meant for inputs of known size, such as micro-batches.
     """
     chunk = max(window_us, 1) * chunk_windows
+    weight = F.sum("n") if "n" in points.columns else F.count("*")
     # Steps and fold read the same shuffle, so both take all of its columns; a
     # numbering that cannot be null keeps the joins from adding a filter to one.
     distinct = (points.groupBy("key", _number(F.col("ts"), chunk).alias("chunk"), "ts")
-                .agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")))
+                .agg(weight.alias("n"), F.min("seq").alias("first_seq")))
     chunks = distinct.repartition("key", "chunk")
     fold_schema = T.StructType([distinct.schema["key"], T.StructField("anchor", T.LongType()),
                                 T.StructField("n", T.LongType()), T.StructField("latest", T.LongType()),

@@ -270,11 +270,11 @@ class LetterModel:
 
 
 class PickyModel(LetterModel):
-    """Fails on texts that hold a question mark."""
+    """Fails on texts that hold an at sign."""
 
     def embed(self, texts):
-        if any("?" in text for text in texts):
-            raise ValueError("question mark")
+        if any("@" in text for text in texts):
+            raise ValueError("at sign")
         return super().embed(texts)
 
 
@@ -317,7 +317,7 @@ def classify_once_per_text(spark, t):
             .select(F.col("seq").alias("event_id"), "f.path", F.round("f.confidence", 5).alias("confidence")))
 
 
-@registered("""SELECT CASE WHEN contains(text, '?') THEN 'ValueError: question mark' ELSE '' END AS error,
+@registered("""SELECT CASE WHEN contains(text, '@') THEN 'ValueError: at sign' ELSE '' END AS error,
   count(*) AS n FROM documents GROUP BY 1""")
 def bad_row_isolation(spark, t):
     events = normalize(document_logs(t), embedder=classify.ModelEmbedder(PickyModel))
@@ -871,6 +871,15 @@ def stream_event_time(spark, t):
     return dedup_out(drained(streams.event_time_dedup(rows, 3600, "0 seconds"), "event-time"))
 
 
+@registered(f"""WITH RECURSIVE {dedup_sql('ts', 3600)} {DEDUP_OUT}
+  WHERE epoch_us(anchor) + 3600000000 <= (SELECT epoch_us(max(ts)) - 7200000000 FROM events)""")
+def stream_event_time_chunked(spark, t):
+    rows = event_stream_rows(file_stream(spark, t, "events"))
+    state = work_path(spark, "event-time-state")
+    return dedup_out(drained(rows, "event-time-chunked",
+                             lambda sink: streams.dedup_event_time_batches(sink, 3600, 7200, state)))
+
+
 @registered("SELECT event_id, ts FROM events")
 def stream_without_copies(spark, t):
     """A page landed twice: every row of the stream exists two times."""

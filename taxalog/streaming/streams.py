@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from taxalog.operators.dedup import counted, counted_summary, deduplicate
+from taxalog.operators.dedup import anchored_groups, counted, counted_summary, deduplicate, event_key
 from taxalog.operators.normalize import normalize, split_rejects
 from taxalog.options import Options
 from taxalog.schemas import EVENT_FIELDS
@@ -141,6 +141,72 @@ def event_time_dedup(events: DataFrame, window_s: float, delay: str = "10 second
             .select("seq", *EVENT_FIELDS))
 
 
+# --- event time, for keys of any size ------------------------------------------------
+
+_SLOTS = 3
+_LAST = (1 << 63) - 1
+
+
+def dedup_event_time_batches(sink: Sink, window_s: float, delay_s: float, state_path: str, **how) -> Sink:
+    """The result of ``event_time_dedup``, with the time chunks of the batch operator.
+
+    No key meets in one task here. What a micro-batch leaves over is a small table
+    below ``state_path``: the open group of each key, the rows ahead of the
+    watermark, and the watermark. An open group enters the next fold as its anchor.
+    Batch ``n`` reads the table of ``n - 1`` and overwrites an older one, so a
+    repeated batch starts from the same state.
+    """
+    window_us, delay_us = round(window_s * 1_000_000), round(delay_s * 1_000_000)
+    key = ["type", "category"]
+    columns = ["kind", *key, "ts", "latest", "n", "seq", *_PAYLOAD]
+
+    def slot(batch_id: int) -> str:
+        return f"{state_path.rstrip('/')}/slot={batch_id % _SLOTS}"
+
+    def write(events: DataFrame, batch_id: int) -> None:
+        spark = events.sparkSession
+        seq = F.coalesce("seq", F.xxhash64(F.lit(batch_id), F.monotonically_increasing_id()))
+        ts = F.unix_micros(F.col("timestamp").cast("timestamp"))
+        rows = events.select(F.lit("row").alias("kind"), *key, ts.alias("ts"), ts.alias("latest"),
+                             F.lit(1).cast("long").alias("n"), seq.alias("seq"), *_PAYLOAD)
+        before = None
+        if batch_id > 0:
+            state = spark.read.parquet(slot(batch_id - 1))
+            before = state.filter("kind = 'mark'").first()["ts"]
+            late = F.lit(False) if before is None else F.col("ts") <= before
+            rows = rows.filter(~late).unionByName(state.filter("kind <> 'mark'").select(columns))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        newest = rows.agg(F.max("ts")).first()[0]
+        mark = before if newest is None else max(newest - delay_us, newest - delay_us if before is None else before)
+        ready = rows.filter(F.lit(False) if mark is None else F.col("ts") <= mark)
+
+        name = event_key().alias("key")
+        points = ready.select(name, "ts", "seq", "n").unionByName(
+            # the latest time of an open group counts for its duration only
+            ready.filter("kind = 'open'").select(name, F.col("latest").alias("ts"), F.lit(_LAST).alias("seq"),
+                                                 F.lit(0).cast("long").alias("n")))
+        groups = anchored_groups(points, window_us, **how).select(
+            F.col("key").alias("_key"), F.col("anchor").alias("ts"), F.col("first_seq").alias("seq"),
+            F.col("n").alias("_n"), F.col("latest").alias("_latest"))
+        heads = (ready.withColumn("_key", event_key()).join(groups, ["_key", "ts", "seq"])
+                 .withColumn("n", F.col("_n")).withColumn("latest", F.col("_latest")).select(columns)
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+        closed = F.lit(False) if mark is None else F.col("ts") + window_us <= mark
+        try:
+            done = heads.filter(closed)
+            sink(done.withColumn("timestamp", F.timestamp_micros("ts"))
+                 .withColumn("summary", counted_summary(F.col("summary"), F.col("n"), F.col("latest") - F.col("ts")))
+                 .withColumn("count", counted(F.col("n"))).select("seq", *EVENT_FIELDS), batch_id)
+            waiting = rows.filter(F.lit(True) if mark is None else F.col("ts") > mark)
+            kept = heads.filter(~closed).withColumn("kind", F.lit("open")).unionByName(waiting)
+            note = spark.range(1).select(F.lit("mark").alias("kind"), F.lit(mark).cast("long").alias("ts"))
+            kept.unionByName(note, allowMissingColumns=True).write.mode("overwrite").parquet(slot(batch_id))
+        finally:
+            heads.unpersist()
+            rows.unpersist()
+    return write
+
+
 # --- metrics ---------------------------------------------------------------------
 
 class CountListener(StreamingQueryListener):

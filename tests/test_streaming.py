@@ -13,7 +13,7 @@ from taxalog.options import Options
 from taxalog.plans.jobs import query, work_path
 from taxalog.sources.logs import stream_lines
 from taxalog.streaming import sinks
-from taxalog.streaming.streams import UNTIL_END, CountListener, buffered, event_time_dedup, start
+from taxalog.streaming.streams import UNTIL_END, CountListener, buffered, dedup_event_time_batches, event_time_dedup, start
 
 T0 = datetime(2026, 3, 1, tzinfo=timezone.utc)
 COLUMNS = "seq long, type string, category string, severity string, timestamp timestamp, summary string, confidence double, raw string, count int"
@@ -56,6 +56,22 @@ def test_event_time_stream_equals_batch(spark, tmp_path):
     assert len(got) == 5
 
 
+@pytest.mark.parametrize("how", [dict(direct=True), dict(chunk_windows=1, span_chunks=2)])
+def test_event_time_batches_equal_batch(spark, tmp_path, how):
+    parts = [[("A", 0), ("A", 4), ("B", 1), ("A", 1)], [("A", 3), ("A", 6), ("B", 5.5)], [("A", 20), ("B", 7), ("A", 20)],
+             [("Z", 40), ("A", 3.5)], [("Z", 500)]]
+    path, stream = landed(spark, tmp_path, parts)
+    out = str(tmp_path / "out")
+    sink = dedup_event_time_batches(sinks.parquet(out), 5, 18, str(tmp_path / "state"), **how)
+    start(stream, sink, str(tmp_path / "cp")).awaitTermination()
+    got = sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in spark.read.parquet(out).collect())
+    late = F.col("summary") == "s11"
+    rows = spark.read.parquet(path).filter(~late)
+    batch = deduplicate(rows, 5, "time", direct=True).filter("timestamp < '2026-03-01 00:05:00'")
+    assert got == sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in batch.collect())
+    assert len(got) == 6
+
+
 def test_text_stream_to_events_with_counts(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
