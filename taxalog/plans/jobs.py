@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,25 +10,10 @@ from taxalog.operators.dedup import deduplicate
 from taxalog.operators.normalize import Normalizer, default_time, normalize, split_rejects
 from taxalog.options import check_range
 from taxalog.sources import logs as sources
+from taxalog.storage import stored, work_path  # noqa: F401
 from taxalog.streaming.sinks import Sink, fan_out, in_first_order
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster, or in a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="taxalog-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """Write once, read back: cuts the plan where it would be evaluated several times."""
-    path = work_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def spread_small(rows: DataFrame) -> DataFrame:
     """Deal the rows of a table with too few splits for the cluster out to all cores.
 
