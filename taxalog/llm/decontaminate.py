@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +34,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def shingle_at(words: str, at: Column) -> Column:
+def shingle_at(words: Column, at: Column) -> Column:
     """Hash of the ``WIDTH`` words from ``at`` on; past the end there are nulls, which a hash leaves out."""
-    return F.xxhash64(*(F.get(F.col(words), at + k) for k in range(WIDTH)))
+    return F.xxhash64(*(F.get(words, at + k) for k in range(WIDTH)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often and deep in lambdas ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def weighted(hashes: Column) -> Column:
     """A multiset of hashes as a set: each occurrence becomes an element of its own."""
     def numbered(ordered):
         return F.transform(ordered, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(ordered, h).cast("int")))
-    # Bound by an outer lambda: named twice, the sort would run again for every element.
-    return F.transform(F.array(F.sort_array(hashes)), numbered)[0]
+    return bound(F.sort_array(hashes), numbered)
 
 
 def simhash(features: Column) -> Column:
@@ -76,15 +81,16 @@ def doc_shingles(docs: DataFrame) -> DataFrame:
     # The outer form keeps the optimizer from adding a filter that would split the text twice.
     return (docs.select("doc_id", words_of(F.col("text")).alias("words"))
             .select("doc_id", "words", F.explode_outer(last).alias("at"))
-            .where("at IS NOT NULL").select("doc_id", "at", shingle_at("words", F.col("at")).alias("h")))
+            .where("at IS NOT NULL").select("doc_id", "at", shingle_at(F.col("words"), F.col("at")).alias("h")))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
     """``item_id``, ``n`` words, ``hashes`` of the shingles in order; items without a word are left out."""
-    n = F.size("words")
-    return (benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(n > 0)
-            .select("item_id", n.alias("n"), F.transform(F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0))),
-                                                         lambda i: shingle_at("words", i)).alias("hashes")))
+    def hashed(words):
+        positions = F.sequence(F.lit(0), F.greatest(F.size(words) - WIDTH, F.lit(0)))
+        return F.struct(F.size(words).alias("n"), F.transform(positions, lambda i: shingle_at(words, i)).alias("hashes"))
+    return (benchmark.select("item_id", bound(words_of(F.col("text")), hashed).alias("item"))
+            .select("item_id", "item.n", "item.hashes").where("n > 0"))
 
 
 def item_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -101,14 +107,16 @@ def item_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         found = hit if found is None else found.unionByName(hit)
     spans = (found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "n")).alias("spans")))
 
-    def features(span):
+    def features(words, span):
         first = F.greatest(span["start"], F.lit(0))
-        end = F.least(span["start"] + span["n"], F.size("words"))
-        return weighted(F.transform(F.sequence(first, F.greatest(end - WIDTH, first)), lambda i: shingle_at("words", i)))
+        end = F.least(span["start"] + span["n"], F.size(words))
+        return weighted(F.transform(F.sequence(first, F.greatest(end - WIDTH, first)), lambda i: shingle_at(words, i)))
+
+    def windows(words):
+        return F.array_distinct(F.transform("spans", lambda span: features(words, span)))
 
     return (docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")))
-            .select("doc_id", words_of(F.col("text")).alias("words"), "spans")
-            .select("doc_id", F.explode(F.array_distinct(F.transform("spans", features))).alias("features")))
+            .select("doc_id", F.explode(bound(words_of(F.col("text")), windows)).alias("features")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -125,15 +133,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     items = items_of(benchmark)
     windows = stored(item_windows(docs, items), "windows")
-    prints = windows.select("features").distinct().withColumn("fp", simhash(F.col("features")))
-    index = (items.select("item_id", weighted(F.col("hashes")).alias("item"))
-             .withColumn("item_fp", simhash(F.col("item")))
-             .withColumn("key", F.explode(block_keys(F.col("item_fp"), RADIUS // BLOCKS))))
+    prints = stored(windows.select("features").distinct().withColumn("fp", simhash(F.col("features"))), "window-prints")
+    index = stored(items.select("item_id", bound(weighted(F.col("hashes")), lambda x: F.struct(
+        x.alias("item"), simhash(x).alias("item_fp"))).alias("x")).select("item_id", "x.*"), "item-prints")
+    index = index.withColumn("key", F.explode(block_keys(F.col("item_fp"), RADIUS // BLOCKS)))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
     pairs = (prints.withColumn("key", F.explode(block_keys(F.col("fp"), 0))).join(index, "key").where(near)
              .select("features", "item_id", "item").distinct())
-    common = F.size(F.array_intersect("features", "item"))
-    pairs = (pairs.withColumn("similarity", common / (F.size("features") + F.size("item") - common))
+
+    def jaccard(common):
+        return common / (F.size("features") + F.size("item") - common)
+    pairs = (pairs.withColumn("similarity", bound(F.size(F.array_intersect("features", "item")), jaccard))
              .where(F.col("similarity") >= similarity).select("features", "item_id", "similarity"))
     return windows.join(pairs, "features").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
