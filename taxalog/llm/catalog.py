@@ -2,22 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxalog.llm import decontaminate, language, line_dedup, mixing, simhash_dedup
+from taxalog.llm import chat, decontaminate, embedding_dedup, language, line_dedup, mixing, pii, simhash_dedup, url_filter, warc
+from taxalog.storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.train()).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
+    counts = [F.size(F.filter("pii", lambda s, k=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, similarity of every benchmark item that a document holds."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stored(warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages"))), "archives")
+
+    def page(record_id):
+        return F.regexp_extract(record_id, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    return warc.read_archives(archives).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        page("refers_to").alias("refers_to"), "error")
+
+
+OP4 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first != page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first != page_id THEN first END AS refers_to,
+       CAST(NULL AS VARCHAR) AS error
+FROM g
+"""
+
+
+def chat_events(rows: DataFrame) -> DataFrame:
+    """The log that would have led to the rows: texts streamed in two deltas, answers after a draft and a regeneration."""
+    copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    text = F.coalesce("text", F.lit(""))
+    half = (F.char_length(text) / 2).cast("int")
+
+    def event(seq, kind, text):
+        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    whole = [event(3, "delta", F.substring(text, F.lit(1), half)), event(4, "delta", F.substring(text, half + 1, F.char_length(text)))]
+    draft = [event(1, "delta", F.concat(F.lit("draft "), text)), event(2, "regenerate", F.lit(None))]
+    start = event(0, "start", F.lit(None))
+    events = F.when(F.col("role") == chat.TRAINED, F.array(start, *draft, *whole)).otherwise(F.array(start, *whole))
+    return (rows.withColumn("message", F.struct("turn", copy.alias("copy")))
+            .select("conv_id", "message", "role", F.explode(events).alias("e")).select("conv_id", "message", "role", "e.*"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    awkward = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(awkward).alias("text"))
+    out = chat.render(chat.fold_events(chat_events(rows.unionByName(more))))
+    out = out.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"),
+                     chat.trained_text(F.col("formatted"), F.col("loss")).alias("trained"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+                      F.char_length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"),
+                      F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP5 = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role IS NOT DISTINCT FROM 'assistant' AS trained FROM c
+), e AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '\\', '\\\\', 'g'), '<(/?s>)', '<\\\1', 'g'),
+                           '\[(/?INST\])', '[\\\1', 'g') AS escaped FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (trained), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (trained), '')) AS loss_sha256,
+       CAST(sum(length(escaped) + length(role) + 20) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return (rows.select("doc_id", "size", "source_size", "target", "taken", F.get("times", F.lit(0)).alias("position"))
@@ -80,6 +168,24 @@ FROM m GROUP BY doc_id
 """
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP8 = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+"""
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = language.identify(docs, language.train(docs))
@@ -93,10 +199,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "op3_decontamination": op3, "op6_source_mix": op6, "op7_line_dedup": op7,
-        "op9_language_id": op9, "op10_simhash_dedup": op10, "pipeline": corpus_pipeline.run,
+        "op1_url_filter": op1, "op2_pii": op2, "op3_decontamination": op3, "op4_warc": op4, "op5_chat_format": op5,
+        "op6_source_mix": op6, "op7_line_dedup": op7, "op8_embedding_dedup": op8, "op9_language_id": op9,
+        "op10_simhash_dedup": op10, "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": OP6, "op7_line_dedup": OP7}
+    return {"op4_warc": OP4, "op5_chat_format": OP5, "op6_source_mix": OP6, "op7_line_dedup": OP7, "op8_embedding_dedup": OP8}
