@@ -40,8 +40,9 @@ def block_count(radius: int, rows: int) -> int:
     """Blocks so that a key has about as many bits as the rows need for short runs.
 
     More blocks make longer keys and more of them; any number gives the same links.
+    Keys of 20 bits, two blocks, are the least, and do up to some 17 million rows.
     """
-    wanted = max(12.0, math.log2(max(rows, 1)) - 4)
+    wanted = max(20.0, math.log2(max(rows, 1)) - 4)
     agree = 1
     while agree < 6 and 64 * agree / (radius + agree) < wanted:
         agree += 1
