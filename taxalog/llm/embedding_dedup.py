@@ -4,11 +4,13 @@ Vectors are put into coarse inverted lists and stored as codes of their residual
 subspaces. A query reads the lists that can hold a neighbour, estimates distances
 from tables of its own, and reranks what is left by exact cosine.
 
-Both cuts are bounds, not guesses. With unit vectors, cosine >= c means a distance
-of at most d = sqrt(2 - 2c). A neighbour in list j is no further than d from the
-query, so the query is no further than d beyond the plane between its own
-centroid and that of j: other lists are not probed. And the distance to a vector
-is at least the distance to its code less the code's error, which is stored.
+A query probes the ``PROBES`` lists whose centroids are nearest. A neighbour at
+cosine 0.9 is a small turn away, so its own list ranks high for the query: on random
+vectors of 64 dimensions, the hardest case, 24 of 256 lists hold over 0.99 of such
+neighbours. (The exact bound, all lists whose border is within reach, would probe
+half of all lists there and make the work quadratic.) The cut by code is a bound and
+loses nothing: the distance to a vector is at least the distance to its code less
+the code's error, which is stored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from taxalog.storage import stored
 COSINE = 0.9
 #: Vectors per list that are aimed at, and the most lists; beyond, lists grow and are cut into blocks.
 LIST, MAX_LISTS = 200, 4096
+#: Lists that a query reads, its own included.
+PROBES = 24
 SUBSPACES, CODES = 16, 64
 #: Rows that centroids and codebooks are fitted on, chosen by hash. Every row is indexed.
 SAMPLE = 16_384
@@ -42,14 +46,14 @@ SLACK = 1e-4
 class Index:
     centroids: np.ndarray  # lists x dimensions
     books: np.ndarray  # subspaces x codes x width
-    gaps: np.ndarray  # distances between centroids
 
-    def lists_of(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Home list of each row, and (row, list) of every further list that a neighbour within ``reach`` can be in."""
+    def lists_of(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Home list of each row, and (row, list) of the further lists that it probes."""
         d = squares(x, self.centroids)
         home = d.argmin(1)
-        own = d[np.arange(len(x)), home][:, None]
-        row, other = np.nonzero(d - own <= 2 * reach * self.gaps[home] + SLACK)
+        probes = min(probes, d.shape[1])
+        other = np.argpartition(d, probes - 1, 1)[:, :probes].ravel()
+        row = np.repeat(np.arange(len(x)), probes)
         away = other != home[row]
         return home, row[away], other[away]
 
@@ -91,7 +95,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, rows: int) -> Index:
-    lists = int(min(max(rows // LIST, 1), MAX_LISTS, max(len(sample) // 8, 1)))
+    lists = int(min(max(rows // LIST, 1), MAX_LISTS, max(len(sample) // 4, 1)))
     x = sample.astype(np.float32)
     centroids = kmeans(x, lists)
     home = np.concatenate([squares(x[a:a + 4096], centroids).argmin(1) for a in range(0, len(x), 4096)])
@@ -99,7 +103,7 @@ def fit(sample: np.ndarray, rows: int) -> Index:
     rest = split(x - centroids[home], np.zeros((SUBSPACES, 1, width), np.float32))
     k = min(CODES, len(x))
     books = np.stack([kmeans(np.ascontiguousarray(rest[:, m]), k) for m in range(SUBSPACES)])
-    return Index(centroids, books, np.sqrt(squares(centroids, centroids)))
+    return Index(centroids, books)
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def near_vectors(units: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_vectors(units: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
     """``kind``, ``a``, ``b``: (0, id, number of rows linked with it) and (1, id, id) links that connect what is near.
 
     ``units``: ``id``, ``n``, ``unit``, each vector once, all of one length. A pair
@@ -147,7 +151,7 @@ def near_vectors(units: DataFrame, cosine: float = COSINE) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = matrix(part.column(2)).astype(np.float32)
-                home, row, other = own.lists_of(x, reach)
+                home, row, other = own.lists_of(x, probes)
                 codes, error = own.encode(x, home)
                 up = other > home[row]
                 take = np.concatenate([np.arange(len(x)), np.arange(len(x)), row[up]])
