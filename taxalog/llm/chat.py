@@ -48,7 +48,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     return (log.withColumn("since", since)
             .select("conv_id", "message", F.get(roles, F.lit(0)).alias("role"),
                     F.array_join(F.transform(tail, lambda e: e["text"]), "").alias("text"),
-                    F.coalesce(F.element_at(F.transform(last, lambda e: e["kind"]), -1) == "delete", F.lit(False)).alias("gone"))
+                    F.coalesce(F.try_element_at(F.transform(last, lambda e: e["kind"]), F.lit(-1)) == "delete", F.lit(False)).alias("gone"))
             .where("NOT gone").drop("gone"))
 
 
