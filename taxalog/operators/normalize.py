@@ -105,6 +105,7 @@ def event_json(verbosity: str = "standard", pretty: bool = False) -> Column:
     names = [n for n in EVENT_FIELDS if verbosity != "minimal" or n not in ("raw", "confidence")]
     empty = {"confidence": F.lit(0.0), "raw": F.lit(""), "count": F.lit(0)}
     stamp = F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    fields = [(F.regexp_replace(stamp, r"\.?0+(?=[Z+-])", "") if n == "timestamp" else
+    # Only the fraction loses its trailing zeros, and the dot with the last of them.
+    fields = [(F.regexp_replace(stamp, r"(T[0-9:]+)(?:\.0+|(\.[0-9]*[1-9])0*)(Z|[+-][0-9]{2}:[0-9]{2})$", "$1$2$3") if n == "timestamp" else
                F.nullif(F.col(n), empty[n]) if n in empty else F.col(n)).alias(n) for n in names]
     return F.to_json(F.struct(*fields), {"pretty": "true"} if pretty else {})

@@ -43,6 +43,6 @@ class Options:
 def check_range(start: datetime | None, end: datetime | None) -> None:
     """A one-shot query needs both bounds, in order."""
     if start is None or end is None:
-        raise ValueError("a query needs both a start and an end")
+        raise ValueError("one-shot runs take a lower and an upper time")
     if not start < end:
-        raise ValueError(f"start {start.isoformat()} must be before end {end.isoformat()}")
+        raise ValueError(f"empty time range: {start.isoformat()} to {end.isoformat()}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ def query(spark: SparkSession, source: str, sinks: list[Sink], start: datetime,
           **source_options) -> DataFrame:
     """One-shot run over ``[start, end)``; returns the rejected rows.
 
-    The normalized events are stored before the collapse, which reads them
+    Runs append: each writes below a batch number of its own. The normalized events are stored before the collapse, which reads them
     twice, and before the sinks, which read the result once each.
     """
     check_range(start, end)
@@ -43,5 +44,5 @@ def query(spark: SparkSession, source: str, sinks: list[Sink], start: datetime,
     good, rejected = split_rejects(events)
     if dedup:
         good = deduplicate(good, options.dedup_window_s, order)
-    fan_out(*sinks)(in_first_order(good), 0)
+    fan_out(*sinks)(in_first_order(good), uuid.uuid4().int >> 65)
     return rejected

@@ -18,9 +18,7 @@ from taxalog.functions.text import basename, parse_rfc3339
 
 # Fixed values of the sources.
 MAX_LINE_BYTES = 1024 * 1024
-DEFAULT_LINE_LIMIT = 100_000
 CHUNK_HOURS = 24
-CHUNK_ROWS = 1000
 DEFAULT_TABLES = ("edge_logs", "postgres_logs", "auth_logs", "function_logs")
 ALLOWED_TABLES = DEFAULT_TABLES + ("storage_logs", "function_edge_logs", "realtime_logs")
 POLL_SECONDS = {"vercel": 5.0, "flyio": 5.0, "supabase": 10.0}
@@ -89,13 +87,12 @@ def _lines(lines: DataFrame, source: str, metadata: Column) -> DataFrame:
 def text_lines(spark: SparkSession, path: str, n: int = 0) -> tuple[DataFrame, DataFrame]:
     """Lines of text files, and apart from them the lines over 1 MiB.
 
-    Without a limit the first 100 000 lines are returned, as in the source's own
-    query; pass ``n=-1`` for all lines.
+    ``n`` over 0 limits the number of lines, else all are returned.
     """
     lines = _lines(spark.read.text(path, lineSep="\n"), "file", _file_name())
     fits = F.octet_length("raw") <= MAX_LINE_BYTES
     wanted = lines.filter(fits)
-    return (wanted if n < 0 else wanted.limit(n or DEFAULT_LINE_LIMIT)), lines.filter(~fits)
+    return limit(wanted, n), lines.filter(~fits)
 
 
 def _file_name() -> Column:
@@ -103,12 +100,12 @@ def _file_name() -> Column:
 
 
 def stream_lines(spark: SparkSession, path: str, source: str = "file", files_per_trigger: int = 0) -> DataFrame:
-    """The same as a stream over a directory; ``source="stdin"`` carries no metadata."""
+    """All lines, long ones too, as a stream over a directory; ``source="stdin"`` carries no metadata."""
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     metadata = _file_name() if source == "file" else _no_metadata()
-    return _lines(reader.text(path), source, metadata).filter(F.octet_length("raw") <= MAX_LINE_BYTES)
+    return _lines(reader.text(path), source, metadata)
 
 
 # --- provider pages ---------------------------------------------------------------
@@ -173,7 +170,7 @@ def page_order(rows: DataFrame, n: int = 0, page: str = "page_no") -> DataFrame:
 # --- chunked range scans ----------------------------------------------------------
 
 def chunked_top(rows: DataFrame, start: datetime, end: datetime, table: str = "table", ts: str = "ts",
-                tie: str = "id", chunk_hours: float = CHUNK_HOURS, per_chunk: int = CHUNK_ROWS) -> DataFrame:
+                tie: str = "id", chunk_hours: float = CHUNK_HOURS, per_chunk: int = 1000) -> DataFrame:
     """The first ``per_chunk`` rows of each table and chunk of ``[start, end)``.
 
     Spark keeps at most ``per_chunk`` rows per chunk in every task before it
@@ -220,30 +217,41 @@ def next_marks(marks: DataFrame, taken: DataFrame, table: str = "table", ts: str
 # --- registry -----------------------------------------------------------------------
 
 def _read_file(spark, path, n=0, **_):
-    return text_lines(spark, path, n)[0]
+    lines, too_long = text_lines(spark, path)
+    return limit(lines.unionByName(too_long), n)
 
 
 def _read_stdin(spark, **_):
     raise ValueError("stdin can only be streamed")
 
 
+def _landed(spark, schema, path):
+    """Pages with their place in the landing: file name, then position in the file."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return spark.read.schema(schema).json(path).withColumn("page_no", place)
+
+
 def _read_vercel(spark, path, start=None, end=None, n=0, **_):
-    pages = spark.read.schema(schemas.VERCEL_PAGE).json(path).withColumn("page_no", F.monotonically_increasing_id())
+    pages = _landed(spark, schemas.VERCEL_PAGE, path)
     return page_order(in_range(vercel_logs(pages, "page_no"), start, end), n).drop("page_no", "pos")
 
 
 def _read_flyio(spark, path, start=None, end=None, n=0, now=None, **_):
-    pages = spark.read.schema(schemas.FLYIO_PAGE).json(path).withColumn("page_no", F.monotonically_increasing_id())
+    pages = _landed(spark, schemas.FLYIO_PAGE, path)
     return page_order(in_range(flyio_logs(pages, "page_no", now=now), start, end), n).drop("page_no", "pos")
 
 
-def _read_supabase(spark, path, start=None, end=None, n=0, tables=None, now=None, **_):
-    """Landed pages partitioned by table: ``path/table=edge_logs/*.json``."""
+def _read_supabase(spark, path, start=None, end=None, n=0, tables=None, now=None, per_chunk=0, **_):
+    """Landed pages partitioned by table: ``path/table=edge_logs/*.json``.
+
+    ``per_chunk`` over 0 keeps that many rows of each table and day, as a provider
+    that answers a request per day with a page does.
+    """
     names = select_tables(tables)
     start, end = default_range(start, end, now)
     pages = (spark.read.schema(schemas.SUPABASE_PAGE).json(path).filter(F.col("table").isin(*names)))
     rows = supabase_logs(pages).withColumn("id", F.col("metadata")["id"])
-    kept = chunked_top(rows, start, end)
+    kept = chunked_top(rows, start, end, per_chunk=per_chunk) if per_chunk > 0 else in_range(rows, start, end)
     return limit(kept.orderBy("ts", "table", "id"), n).select(*schemas.RAW_LOG.fieldNames())
 
 
@@ -287,5 +295,8 @@ def stream_pages(spark: SparkSession, name: str, path: str, delay: str = "10 min
 
 
 def once(rows: DataFrame, delay: str) -> DataFrame:
-    return (rows.withColumn("_id", F.col("metadata")["id"]).withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["source", "_id"]).drop("_id"))
+    """Rows of pages landed twice come out once, known by table and id; by time, text and metadata where there is no id."""
+    entries = F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))))
+    own = F.sha2(F.to_json(F.struct("ts", "raw", entries.alias("metadata"))), 256)
+    return (rows.withColumn("_table", F.col("metadata")["table"]).withColumn("_id", F.coalesce(F.col("metadata")["id"], own))
+            .withWatermark("ts", delay).dropDuplicatesWithinWatermark(["source", "_table", "_id"]).drop("_table", "_id"))

@@ -15,7 +15,8 @@ Sink = Callable[[DataFrame, int], None]
 
 
 def _batch_path(path: str, batch_id: int) -> str:
-    # One directory per micro-batch, overwritten: a repeated batch leaves no copies.
+    # One directory per micro-batch, overwritten: a repeated batch leaves no copies. One-shot
+    # jobs pass a new number each, so they append; a stream with a new checkpoint needs a new path.
     return f"{path.rstrip('/')}/batch={batch_id}"
 
 
@@ -33,10 +34,11 @@ def ndjson(path: str, verbosity: str = "standard", pretty: bool = False, max_rec
     return write
 
 
-def console(verbosity: str = "standard", n: int = 20) -> Sink:
-    """The first ``n`` events as JSON on the driver's standard output."""
+def console(verbosity: str = "standard", n: int = 0) -> Sink:
+    """All events, or the first ``n``, as JSON on the driver's standard output, a partition at a time."""
     def write(events: DataFrame, batch_id: int) -> None:
-        for row in events.select(event_json(verbosity).alias("json")).limit(n).collect():
+        lines = events.select(event_json(verbosity).alias("json"))
+        for row in (lines.limit(n) if n > 0 else lines).toLocalIterator():
             print(row["json"])
     return write
 
