@@ -23,8 +23,9 @@ from taxalog.operators.compact import compact, compaction_report
 from taxalog.operators.normalize import (by_severity, classify as label_logs, default_time, event_fields, event_json,
                                          normalize, split_rejects)
 from taxalog.options import Options
-from taxalog.plans.jobs import spread_small, work_path
+from taxalog.plans.jobs import query, spread_small
 from taxalog.sources import logs as sources
+from taxalog.storage import work_path
 from taxalog.streaming import sinks, streams
 
 THRESHOLD = 0.05   # word sets of long prose against short labels
@@ -793,7 +794,7 @@ def parse_rfc3339(spark, t):
 def text_line_scan(spark, t):
     path = work_path(spark, "lines")
     t["documents"].select("text").write.text(path)
-    lines, too_long = sources.text_lines(spark, path, -1)
+    lines, too_long = sources.text_lines(spark, path)
     return lines.select("raw").unionByName(too_long.select("raw")).groupBy("raw").agg(F.count("*").alias("n"))
 
 
@@ -815,6 +816,24 @@ def ndjson(spark, t):
     return event_stream_rows(t["events"]).select("seq", event_json().alias("json"))
 
 
+@registered(f"""SELECT event_id AS seq, {EVENT_JSON} AS json FROM (
+  SELECT * REPLACE (ts + to_months(CAST(event_id % 37 * 10 - 290 AS INTEGER)) AS ts) FROM events)""")
+def ndjson_other_months(spark, t):
+    """Times in all months between 1999 and 2029."""
+    moved = t["events"].withColumn("ts", F.expr("ts + make_ym_interval(0, CAST(event_id % 37 * 10 - 290 AS INT))"))
+    return event_stream_rows(moved).select("seq", event_json().alias("json"))
+
+
+@registered("SELECT props AS raw, count(*) * 2 AS n FROM events WHERE props <> '' GROUP BY props")
+def two_runs_append(spark, t):
+    """The whole job twice into one folder, from text files over the file reader."""
+    path, out = work_path(spark, "lines"), work_path(spark, "runs")
+    t["events"].select("props").write.text(path)
+    for _ in range(2):
+        query(spark, "file", [sinks.parquet(out)], datetime(2000, 1, 1), datetime(2100, 1, 1), dedup=False, path=path)
+    return spark.read.parquet(out).groupBy("raw").agg(F.count("*").alias("n"))
+
+
 @registered(f"SELECT {EVENT_JSON} AS json, count(*) AS n FROM events GROUP BY 1")
 def ndjson_sink(spark, t):
     path = work_path(spark, "ndjson")

@@ -10,8 +10,9 @@ from taxalog.operators.dedup import deduplicate, total_count
 from taxalog.operators.evaluate import observe_counts
 from taxalog.operators.normalize import Normalizer, event_json, normalize
 from taxalog.options import Options
-from taxalog.plans.jobs import query, work_path
-from taxalog.sources.logs import stream_lines
+from taxalog.plans.jobs import query
+from taxalog.storage import work_path
+from taxalog.sources.logs import stream_lines, stream_pages
 from taxalog.streaming import sinks
 from taxalog.streaming.streams import UNTIL_END, CountListener, buffered, dedup_event_time_batches, event_time_dedup, start
 
@@ -144,3 +145,28 @@ def test_query_job(spark, tmp_path):
 
 def test_work_path_uses_the_session_setting(spark):
     assert work_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_work_path_needs_a_folder_on_a_cluster(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_path(Session(), "x")
+    assert work_path(Session(), "x", "/shared").startswith("/shared/x-")
+
+
+def test_rows_without_id_are_kept(spark, tmp_path):
+    rows = [{"message": f"m{k}", "timestamp": 1700000000000 + k, "source": "lambda", "level": "info"} for k in range(4)]
+    rows.append(dict(rows[0], id="a"))
+    (tmp_path / "in").mkdir()
+    for name in ("1.json", "2.json"):  # landed twice
+        (tmp_path / "in" / name).write_text(json.dumps({"data": rows, "pagination": {}}))
+    out = str(tmp_path / "out")
+    stream = stream_pages(spark, "vercel", str(tmp_path / "in"))
+    (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+     .trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r["raw"] for r in spark.read.parquet(out).collect()) == ["m0", "m0", "m1", "m2", "m3"]
