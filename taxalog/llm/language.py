@@ -132,7 +132,7 @@ def train(docs: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> LanguageMo
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["bucket", "n"])
 
     found = (rows.select("text").mapInArrow(frequencies, "bucket int, n long")
-             .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())
+             .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
     df = np.zeros(1 << bits)
     df[found["bucket"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
