@@ -69,7 +69,9 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     for the list of each document's lost lines; the texts are shuffled once.
     """
     keys = stored(line_keys(docs, min_chars), "line-keys")
-    lost = (keys.join(shared_lines(keys, min_docs), "key").where("NOT doc_id <=> keeper")
+    # A table of its own: broadcast while small, else joined over exchanges that adaptive execution can split.
+    shared = stored(shared_lines(keys, min_docs), "shared-lines")
+    lost = (keys.join(shared, "key").where("NOT doc_id <=> keeper")
             .groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("key").alias("_lost")))
 
     @F.arrow_udf("text string, n_lines long, n_dropped long")
