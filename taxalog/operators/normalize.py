@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxalog.functions.text import is_blank, summarize
-from taxalog.operators.classify import UNCLASSIFIED, LexicalEmbedder, path_category, path_type, resolve
+from taxalog.operators.classify import MODEL_THRESHOLD, UNCLASSIFIED, LexicalEmbedder, path_category, path_type, resolve
 from taxalog.operators.compact import compact
 from taxalog.operators.taxonomy import by_root, taxonomy
 from taxalog.options import Options
@@ -23,10 +23,16 @@ def default_time(logs: DataFrame, now: datetime | None = None, column: str = "ts
     return logs.withColumn(column, F.coalesce(F.col(column).cast("timestamp"), arrival))
 
 
-def classify(logs: DataFrame, labels: DataFrame, embedder=None, threshold: float = 0.5, raw: str = "raw") -> DataFrame:
-    """Adds ``type, category, severity, confidence, error``; blank rows skip the embedder."""
-    text = F.col(raw)
-    match, error = (embedder or LexicalEmbedder()).match(F.when(~is_blank(text), text), labels)
+def classify(logs: DataFrame, labels: DataFrame, embedder=None, threshold: float | None = None,
+             raw: str = "raw") -> DataFrame:
+    """Adds ``type, category, severity, confidence, error``; blank rows skip the embedder.
+
+    Without a threshold that of the embedder holds.
+    """
+    text, embedder = F.col(raw), embedder or LexicalEmbedder()
+    if threshold is None:
+        threshold = getattr(embedder, "threshold", MODEL_THRESHOLD)
+    match, error = embedder.match(F.when(~is_blank(text), text), labels)
     blank = F.struct(F.lit(f"{UNCLASSIFIED}.{EMPTY}").alias("path"), F.lit("warning").alias("severity"),
                      F.lit(0.0).alias("confidence"))
     matched = logs.withColumn("_match", match).withColumn("error", error)
@@ -80,8 +86,12 @@ class Normalizer:
 
     def classify_logs(self, logs: DataFrame, now: datetime | None = None) -> DataFrame:
         """Events of structured logs; a missing time becomes the time of the call."""
-        good, _ = split_rejects(normalize(default_time(logs, now), self.labels, self.embedder, self.options))
-        return good.select("seq", *EVENT_FIELDS)
+        return self.classify_or_reject(logs, now)[0]
+
+    def classify_or_reject(self, logs: DataFrame, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+        """The events, and the rows that the model failed on, with their ``error``."""
+        good, rejected = split_rejects(normalize(default_time(logs, now), self.labels, self.embedder, self.options))
+        return good.select("seq", *EVENT_FIELDS), rejected
 
     def classify_texts(self, texts: DataFrame, text: str = "text", now: datetime | None = None) -> DataFrame:
         """Events of a DataFrame with one text column."""

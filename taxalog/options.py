@@ -16,7 +16,7 @@ def parse_verbosity(name: str | None) -> str:
 
 @dataclass(frozen=True)
 class Options:
-    threshold: float = 0.5
+    threshold: float | None = None  # None: that of the embedder
     verbosity: str = "standard"
     strip_fields: tuple[str, ...] | None = None
     dedup_window_s: float = 5.0
@@ -26,15 +26,17 @@ class Options:
 
     def validate(self) -> "Options":
         problems = []
-        if not math.isfinite(self.threshold):
-            problems.append(f"confidence threshold must be a finite number, got {self.threshold}")
+        if self.threshold is None:
+            pass
+        elif not math.isfinite(self.threshold):
+            problems.append(f"threshold is no finite number: {self.threshold}")
         elif not 0 <= self.threshold <= 1:
-            problems.append(f"confidence threshold must be 0-1, got {self.threshold}")
+            problems.append(f"threshold lies outside 0 to 1: {self.threshold}")
         if self.verbosity not in VERBOSITIES:
-            problems.append(f"invalid verbosity {self.verbosity!r}, use one of {', '.join(VERBOSITIES)}")
+            problems.append(f"unknown verbosity {self.verbosity!r}, known are {', '.join(VERBOSITIES)}")
         for name in ("dedup_window_s", "max_buffer", "limit", "max_file_size"):
             if getattr(self, name) < 0:
-                problems.append(f"{name} must be non-negative, got {getattr(self, name)}")
+                problems.append(f"{name} is below zero: {getattr(self, name)}")
         if problems:
             raise ValueError("; ".join(problems))
         return self

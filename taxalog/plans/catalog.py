@@ -23,7 +23,7 @@ from taxalog.operators.compact import compact, compaction_report
 from taxalog.operators.normalize import (by_severity, classify as label_logs, default_time, event_fields, event_json,
                                          normalize, split_rejects)
 from taxalog.options import Options
-from taxalog.plans.jobs import query, spread_small
+from taxalog.plans.jobs import query, spread
 from taxalog.sources import logs as sources
 from taxalog.storage import work_path
 from taxalog.streaming import sinks, streams
@@ -147,11 +147,12 @@ def lexical_sql(docs: str = "SELECT doc_id, text FROM documents", threshold: flo
     """CTEs up to ``found(doc_id, path, severity, sim)``."""
     return f"""{TAX_SQL}, docs AS ({docs}),
       lw AS (SELECT ord, unnest(list_distinct({sql_words('embed_text')})) AS token FROM tax),
-      ln AS (SELECT ord, count(*) AS n FROM lw GROUP BY ord),
-      dl AS (SELECT doc_id, list_distinct({sql_words('text')}) AS tokens FROM docs),
-      dw AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS token FROM dl),
-      sims AS (SELECT doc_id, ord, count(*) / sqrt(CAST(dw.n * ln.n AS DOUBLE)) AS sim
-               FROM dw JOIN lw USING (token) JOIN ln USING (ord) GROUP BY doc_id, ord, dw.n, ln.n),
+      tw AS (SELECT token, greatest(1, CAST(round(10 * ln((1 + (SELECT count(*) FROM tax)) / count(*))) AS BIGINT)) AS w FROM lw GROUP BY token),
+      ln AS (SELECT ord, sum(w * w) AS n FROM lw JOIN tw USING (token) GROUP BY ord),
+      dw AS (SELECT doc_id, token, w FROM (SELECT doc_id, unnest(list_distinct({sql_words('text')})) AS token FROM docs) JOIN tw USING (token)),
+      dn AS (SELECT doc_id, sum(w * w) AS n FROM dw GROUP BY doc_id),
+      sims AS (SELECT doc_id, ord, CAST(sum(w * w) AS BIGINT) / sqrt(CAST(dn.n * ln.n AS DOUBLE)) AS sim
+               FROM dw JOIN lw USING (token) JOIN dn USING (doc_id) JOIN ln USING (ord) GROUP BY doc_id, ord, dn.n, ln.n),
       best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, ord) = 1),
       found AS (SELECT d.doc_id, coalesce(b.sim, 0.0) AS sim,
                   CASE WHEN coalesce(b.sim, 0.0) >= {threshold} THEN t.path ELSE 'UNCLASSIFIED' END AS path,
@@ -163,7 +164,7 @@ def lexical_sql(docs: str = "SELECT doc_id, text FROM documents", threshold: flo
 
 def document_logs(t: Tables) -> DataFrame:
     """Documents as raw logs; the time only has to be some column of the table."""
-    return spread_small(t["documents"]).select(F.col("doc_id").alias("seq"), F.timestamp_seconds("doc_id").alias("ts"),
+    return spread(t["documents"]).select(F.col("doc_id").alias("seq"), F.timestamp_seconds("doc_id").alias("ts"),
                                  F.col("source"), F.col("text").alias("raw"))
 
 
@@ -196,7 +197,7 @@ def label_counts(spark, t):
 def classify_lexical(spark, t):
     labels = taxonomy.taxonomy(spark)
     found = classify.resolve(classify.lexical_match(F.col("text"), labels), labels, THRESHOLD)
-    return (spread_small(t["documents"]).select("doc_id", found.alias("f"))
+    return (spread(t["documents"]).select("doc_id", found.alias("f"))
             .select("doc_id", "f.path", "f.severity", r6("f.confidence").alias("confidence")))
 
 
@@ -212,10 +213,8 @@ def classify_lexical(spark, t):
   FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN tax ON tax.ord = coalesce(best.ord, 0)""")
 def classify_by_term_join(spark, t):
     labels = taxonomy.taxonomy(spark)
-    docs = spread_small(t["documents"]).select("doc_id", "text")
-    matched = classify.nearest_label_sparse(
-        docs.select("doc_id"), classify.term_weights(docs, "doc_id", "text"),
-        classify.term_weights(labels, "ord", "embed_text"), "doc_id")
+    docs = spread(t["documents"]).select("doc_id", "text")
+    matched = classify.nearest_label_sparse(docs, "doc_id", "text", classify.term_weights(labels, "ord", "embed_text"))
     found = classify.resolve(F.col("match"), labels, 0.0)
     return matched.select("doc_id", found["path"].alias("path"), r6(found["confidence"]).alias("confidence"))
 
@@ -420,7 +419,7 @@ def taxonomy_rollup(spark, t):
 
 @registered(f"SELECT doc_id, {sql_summary('text')} AS summary FROM documents")
 def summarize(spark, t):
-    return spread_small(t["documents"]).select("doc_id", X.summarize(F.col("text")).alias("summary"))
+    return spread(t["documents"]).select("doc_id", X.summarize(F.col("text")).alias("summary"))
 
 
 @registered(f"SELECT conv_id, turn, {sql_truncate('text', 200)} AS minimal, {sql_truncate('text', 2000)} AS standard FROM conversations")
@@ -432,12 +431,12 @@ def truncate(spark, t):
 
 @registered(f"SELECT doc_id, {sql_estimate('text')} AS tokens FROM documents")
 def token_estimate(spark, t):
-    return spread_small(t["documents"]).select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
+    return spread(t["documents"]).select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @registered(f"SELECT doc_id, {sql_clean('text')} AS cleaned, strip_accents(text) AS bare FROM documents")
 def clean_and_strip_accents(spark, t):
-    return spread_small(t["documents"]).select("doc_id", X.clean_text(F.col("text")).alias("cleaned"),
+    return spread(t["documents"]).select("doc_id", X.clean_text(F.col("text")).alias("cleaned"),
                                  X.strip_accents(F.col("text")).alias("bare"))
 
 
@@ -448,12 +447,12 @@ IDEOGRAPHS_SQL = X.IDEOGRAPHS
   SELECT doc_id, regexp_replace(text, '([{IDEOGRAPHS_SQL}])', ' \1 ', 'g') AS padded FROM d""")
 def pad_ideographs(spark, t):
     text = F.replace(F.replace("text", F.lit("th"), F.lit("日")), F.lit("en"), F.lit("本"))
-    return spread_small(t["documents"]).select("doc_id", X.pad_ideographs(text).alias("padded"))
+    return spread(t["documents"]).select("doc_id", X.pad_ideographs(text).alias("padded"))
 
 
 @registered(f"SELECT doc_id, len({sql_tokens('text')}) AS n_tokens, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM documents")
 def basic_tokens(spark, t):
-    return (spread_small(t["documents"]).select("doc_id", X.basic_tokens(F.col("text")).alias("t"))
+    return (spread(t["documents"]).select("doc_id", X.basic_tokens(F.col("text")).alias("t"))
             .select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens")))
 
 
@@ -468,7 +467,7 @@ def trace_text() -> Column:
   SELECT doc_id, {sql_trace('raw', 5)} AS shortened,
          len(list_filter(string_split(raw, chr(10)), lambda x: {sql_frame('x')})) AS n_frames FROM d""")
 def shorten_trace(spark, t):
-    rows = spread_small(t["documents"]).select("doc_id", trace_text().alias("raw"))
+    rows = spread(t["documents"]).select("doc_id", trace_text().alias("raw"))
     return rows.select("doc_id", X.shorten_trace(F.col("raw"), 5).alias("shortened"),
                        F.size(F.filter(F.split("raw", "\n"), X.is_frame)).cast("long").alias("n_frames"))
 
@@ -485,7 +484,7 @@ TYPED = f"d AS (SELECT doc_id, {TRACE} AS raw, CASE WHEN doc_id % 2 = 0 THEN 'ER
 
 
 def typed_logs(t: Tables) -> DataFrame:
-    return spread_small(t["documents"]).select("doc_id", trace_text().alias("raw"),
+    return spread(t["documents"]).select("doc_id", trace_text().alias("raw"),
                                  F.when(F.col("doc_id") % 2 == 0, "ERROR").otherwise("REQUEST").alias("type"))
 
 
@@ -572,7 +571,7 @@ def dense_projection(spark, t):
 
 def word_vocab(t: Tables, n: int = 400) -> DataFrame:
     """A vocabulary from the data: frequent words and letters, whole and as continuations."""
-    tokens = spread_small(t["documents"]).select(F.explode(X.basic_tokens(F.col("text"))).alias("token"))
+    tokens = spread(t["documents"]).select(F.explode(X.basic_tokens(F.col("text"))).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     top = counts.filter(F.length("token") > 1).orderBy(F.desc("n"), "token").limit(n).select("token")
     letters = t.spark.range(25).select(F.char(F.col("id") + 97).alias("token"))
@@ -600,14 +599,14 @@ WORD_PIECE_SQL = f"""
 def word_piece_report(spark, t):
     vocab = spark.sparkContext.broadcast(embed.collect_vocab(word_vocab(t)))
     ids = embed.word_piece_ids(F.col("text"), vocab, max_tokens=1_000_000_000)
-    return embed.token_report(spread_small(t["documents"]).select("source", ids.alias("r")).select("source", "r.*"))
+    return embed.token_report(spread(t["documents"]).select("source", ids.alias("r")).select("source", "r.*"))
 
 
 @registered(f"""WITH RECURSIVE {WORD_PIECE_SQL}
   SELECT doc_id, CAST(least(k, 126) + 2 AS INTEGER) AS n_tokens, k > 126 AS truncated FROM per_doc""")
 def word_piece_ids(spark, t):
     vocab = spark.sparkContext.broadcast(embed.collect_vocab(word_vocab(t)))
-    return (spread_small(t["documents"]).select("doc_id", embed.word_piece_ids(F.col("text"), vocab).alias("r"))
+    return (spread(t["documents"]).select("doc_id", embed.word_piece_ids(F.col("text"), vocab).alias("r"))
             .select("doc_id", "r.n_tokens", "r.truncated"))
 
 

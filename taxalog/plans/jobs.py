@@ -15,34 +15,34 @@ from taxalog.storage import stored
 from taxalog.streaming.sinks import Sink, fan_out, in_first_order
 
 
-def spread_small(rows: DataFrame) -> DataFrame:
-    """Deal the rows of a table with too few splits for the cluster out to all cores.
+def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``rows`` dealt out to ``partitions`` tasks.
 
-    Tokenizing costs far more than moving a row once, so a small table should not
-    be handled by a few tasks. A table with enough splits is left where it is.
+    Without a number the session setting ``taxalog.partitions`` holds, and without
+    that the rows stay in the splits of their scan. A number is worth its shuffle
+    only where a table has fewer splits than the cluster has cores.
     """
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size * 2 < cores * split else rows
+    partitions = partitions or int(rows.sparkSession.conf.get("taxalog.partitions", "0"))
+    return rows.repartition(partitions) if partitions else rows
 
 
 def query(spark: SparkSession, source: str, sinks: list[Sink], start: datetime, end: datetime,
           normalizer: Normalizer | None = None, dedup: bool = True, order: str = "arrival",
-          **source_options) -> DataFrame:
+          partitions: int | None = None, ordered: bool = False, **source_options) -> DataFrame:
     """One-shot run over ``[start, end)``; returns the rejected rows.
 
-    Runs append: each writes below a batch number of its own. The normalized events are stored before the collapse, which reads them
-    twice, and before the sinks, which read the result once each.
+    Runs append: each writes below a batch number of its own. The normalized events
+    are stored before the collapse, which reads them twice, and before the sinks,
+    which read the result once each. ``ordered`` sorts the events by first
+    occurrence, for sinks that keep an order. ``partitions``: see ``spread``.
     """
     check_range(start, end)
     normalizer = normalizer or Normalizer(spark)
     options = normalizer.options
     rows = sources.read(spark, source, start=start, end=end, n=options.limit, **source_options)
-    events = stored(normalize(default_time(spread_small(rows)), normalizer.labels, normalizer.embedder, options), "events")
+    events = stored(normalize(default_time(spread(rows, partitions)), normalizer.labels, normalizer.embedder, options), "events")
     good, rejected = split_rejects(events)
     if dedup:
         good = deduplicate(good, options.dedup_window_s, order)
-    fan_out(*sinks)(in_first_order(good), uuid.uuid4().int >> 65)
+    fan_out(*sinks)(in_first_order(good) if ordered else good, uuid.uuid4().int >> 65)
     return rejected
