@@ -860,11 +860,17 @@ def file_stream(spark: SparkSession, t: Tables, name: str) -> DataFrame:
     return spark.readStream.schema(t[name].schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.path)
 
 
-def drained(events: DataFrame, name: str, through=lambda sink: sink) -> DataFrame:
-    """Run a stream to the end of its input; its output as a table."""
+def drained(events: DataFrame, name: str, through=lambda sink: sink, rest=None) -> DataFrame:
+    """Run a stream to the end of its input; its output as a table, with ``rest(checkpoint)`` of what it held back."""
     spark = events.sparkSession
     path = work_path(spark, name)
-    streams.start(events, through(sinks.parquet(path)), work_path(spark, f"{name}-checkpoint")).awaitTermination()
+    sink = through(sinks.parquet(path))
+    checkpoint = work_path(spark, f"{name}-checkpoint")
+    streams.start(events, sink, checkpoint).awaitTermination()
+    if hasattr(sink, "close"):
+        sink.close(spark)
+    if rest is not None:
+        sink(rest(checkpoint), -1)
     return spark.read.parquet(path)
 
 
@@ -882,15 +888,14 @@ def stream_micro_batches(spark, t):
     return dedup_out(drained(rows, "batches", lambda sink: streams.dedup_batches(sink, 3600)))
 
 
-@registered(f"""WITH RECURSIVE {dedup_sql('ts', 3600)} {DEDUP_OUT}
-  WHERE epoch_us(anchor) + 3600000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM events)""")
+@registered(f"WITH RECURSIVE {dedup_sql('ts', 3600)} {DEDUP_OUT}")
 def stream_event_time(spark, t):
     rows = event_stream_rows(file_stream(spark, t, "events"))
-    return dedup_out(drained(streams.event_time_dedup(rows, 3600, "0 seconds"), "event-time"))
+    return dedup_out(drained(streams.event_time_dedup(rows, 3600, "0 seconds"), "event-time",
+                             rest=lambda checkpoint: streams.left_open(spark, checkpoint, 3600)))
 
 
-@registered(f"""WITH RECURSIVE {dedup_sql('ts', 3600)} {DEDUP_OUT}
-  WHERE epoch_us(anchor) + 3600000000 <= (SELECT epoch_us(max(ts)) - 7200000000 FROM events)""")
+@registered(f"WITH RECURSIVE {dedup_sql('ts', 3600)} {DEDUP_OUT}")
 def stream_event_time_chunked(spark, t):
     rows = event_stream_rows(file_stream(spark, t, "events"))
     state = work_path(spark, "event-time-state")
@@ -903,7 +908,7 @@ def stream_without_copies(spark, t):
     """A page landed twice: every row of the stream exists two times."""
     events = file_stream(spark, t, "events")
     twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    rows = twice.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("events").alias("source"),
+    rows = twice.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("events").alias("source"), F.col("props").alias("raw"),
                         F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("metadata"))
     out = drained(sources.once(rows, "1 hour"), "once")
     return out.select(F.col("metadata")["id"].cast("long").alias("event_id"), no_zone("ts").alias("ts"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -56,6 +56,8 @@ def buffered(events: DataFrame, sink: Sink, window_s: float, checkpoint: str, tr
 
 # --- event time ------------------------------------------------------------------
 
+_KEY = ["type", "category"]
+_LAST = (1 << 63) - 1
 _PAYLOAD = ["severity", "summary", "confidence", "raw"]
 _PENDING = ["ts_us", "n", "seq", *_PAYLOAD]
 _TYPES = {"ts_us": "long", "n": "long", "seq": "long", "severity": "string", "summary": "string",
@@ -124,8 +126,9 @@ def event_time_dedup(events: DataFrame, window_s: float, delay: str = "10 second
     """Groups that do not depend on how the stream is cut into batches.
 
     Rows wait until the watermark has passed them and are then folded in time
-    order; a group is emitted when the watermark has passed its window. Rows
-    behind the watermark are dropped. Equal times are combined in the state.
+    order; a group is emitted when the watermark has passed its window, and by
+    ``left_open`` at the end. Rows behind the watermark are dropped. Equal times
+    are combined in the state.
     """
     window_us = round(window_s * 1_000_000)
     # Rows of a stream may carry no number; equal times then need some fixed order.
@@ -141,10 +144,43 @@ def event_time_dedup(events: DataFrame, window_s: float, delay: str = "10 second
             .select("seq", *EVENT_FIELDS))
 
 
+def _folded(rows: DataFrame, window_us: int, **how) -> DataFrame:
+    """Group heads of ``rows`` (kind, type, category, ts, latest, n, seq, payload), with the group's ``n`` and ``latest``."""
+    name = event_key().alias("key")
+    points = rows.select(name, "ts", "seq", "n").unionByName(
+        # the latest time of an open group counts for its duration only
+        rows.filter("kind = 'open'").select(name, F.col("latest").alias("ts"), F.lit(_LAST).alias("seq"),
+                                            F.lit(0).cast("long").alias("n")))
+    groups = anchored_groups(points, window_us, **how).select(
+        F.col("key").alias("_key"), F.col("anchor").alias("ts"), F.col("first_seq").alias("seq"),
+        F.col("n").alias("_n"), F.col("latest").alias("_latest"))
+    return (rows.withColumn("_key", event_key()).join(groups, ["_key", "ts", "seq"])
+            .withColumn("n", F.col("_n")).withColumn("latest", F.col("_latest")))
+
+
+def _as_events(groups: DataFrame) -> DataFrame:
+    return (groups.withColumn("timestamp", F.timestamp_micros("ts"))
+            .withColumn("summary", counted_summary(F.col("summary"), F.col("n"), F.col("latest") - F.col("ts")))
+            .withColumn("count", counted(F.col("n"))).select("seq", *EVENT_FIELDS))
+
+
+def left_open(spark: SparkSession, checkpoint: str, window_s: float, **how) -> DataFrame:
+    """The events that ``event_time_dedup`` still held when its stream ended for good.
+
+    Read from the state of the last batch in ``checkpoint``: open groups go on with
+    the rows that waited for the watermark. The stream's sink gets what this returns.
+    """
+    kept = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
+    started = kept.where("anchor IS NOT NULL").select(
+        F.lit("open").alias("kind"), *_KEY, F.col("anchor").alias("ts"), "latest", F.col("count").alias("n"), "seq", *_PAYLOAD)
+    waiting = (kept.select(*_KEY, F.inline(F.arrays_zip(*(F.col(f"p_{c}").alias(c) for c in _PENDING))))
+               .select(F.lit("row").alias("kind"), *_KEY, F.col("ts_us").alias("ts"), F.col("ts_us").alias("latest"), "n", "seq", *_PAYLOAD))
+    return _as_events(_folded(started.unionByName(waiting), round(window_s * 1_000_000), **how))
+
+
 # --- event time, for keys of any size ------------------------------------------------
 
 _SLOTS = 3
-_LAST = (1 << 63) - 1
 
 
 def dedup_event_time_batches(sink: Sink, window_s: float, delay_s: float, state_path: str, **how) -> Sink:
@@ -155,15 +191,22 @@ def dedup_event_time_batches(sink: Sink, window_s: float, delay_s: float, state_
     watermark, and the watermark. An open group enters the next fold as its anchor.
     Batch ``n`` reads the table of ``n - 1`` and overwrites an older one, so a
     repeated batch starts from the same state.
+
+    The sink has a ``close(spark, batch_id)``, to be called when the stream has ended
+    for good: it emits the groups that are still open and the rows that still wait,
+    as the batch after the last one (``batch_id``, by default the next that this
+    sink would see). Without any batch before it does nothing.
     """
     window_us, delay_us = round(window_s * 1_000_000), round(delay_s * 1_000_000)
-    key = ["type", "category"]
-    columns = ["kind", *key, "ts", "latest", "n", "seq", *_PAYLOAD]
+    key, columns = _KEY, ["kind", *_KEY, "ts", "latest", "n", "seq", *_PAYLOAD]
+    last = -1
 
     def slot(batch_id: int) -> str:
         return f"{state_path.rstrip('/')}/slot={batch_id % _SLOTS}"
 
-    def write(events: DataFrame, batch_id: int) -> None:
+    def write(events: DataFrame, batch_id: int, closing: bool = False) -> None:
+        nonlocal last
+        last = batch_id
         spark = events.sparkSession
         seq = F.coalesce("seq", F.xxhash64(F.lit(batch_id), F.monotonically_increasing_id()))
         ts = F.unix_micros(F.col("timestamp").cast("timestamp"))
@@ -178,25 +221,15 @@ def dedup_event_time_batches(sink: Sink, window_s: float, delay_s: float, state_
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         newest = rows.agg(F.max("ts")).first()[0]
         mark = before if newest is None else max(newest - delay_us, newest - delay_us if before is None else before)
+        if closing and newest is not None:
+            mark = newest + window_us  # behind every row, and behind the window of every group
         ready = rows.filter(F.lit(False) if mark is None else F.col("ts") <= mark)
 
-        name = event_key().alias("key")
-        points = ready.select(name, "ts", "seq", "n").unionByName(
-            # the latest time of an open group counts for its duration only
-            ready.filter("kind = 'open'").select(name, F.col("latest").alias("ts"), F.lit(_LAST).alias("seq"),
-                                                 F.lit(0).cast("long").alias("n")))
-        groups = anchored_groups(points, window_us, **how).select(
-            F.col("key").alias("_key"), F.col("anchor").alias("ts"), F.col("first_seq").alias("seq"),
-            F.col("n").alias("_n"), F.col("latest").alias("_latest"))
-        heads = (ready.withColumn("_key", event_key()).join(groups, ["_key", "ts", "seq"])
-                 .withColumn("n", F.col("_n")).withColumn("latest", F.col("_latest")).select(columns)
-                 .persist(StorageLevel.MEMORY_AND_DISK))
+        heads = _folded(ready, window_us, **how).select(columns).persist(StorageLevel.MEMORY_AND_DISK)
         closed = F.lit(False) if mark is None else F.col("ts") + window_us <= mark
         try:
             done = heads.filter(closed)
-            sink(done.withColumn("timestamp", F.timestamp_micros("ts"))
-                 .withColumn("summary", counted_summary(F.col("summary"), F.col("n"), F.col("latest") - F.col("ts")))
-                 .withColumn("count", counted(F.col("n"))).select("seq", *EVENT_FIELDS), batch_id)
+            sink(_as_events(done), batch_id)
             waiting = rows.filter(F.lit(True) if mark is None else F.col("ts") > mark)
             kept = heads.filter(~closed).withColumn("kind", F.lit("open")).unionByName(waiting)
             note = spark.range(1).select(F.lit("mark").alias("kind"), F.lit(mark).cast("long").alias("ts"))
@@ -204,6 +237,13 @@ def dedup_event_time_batches(sink: Sink, window_s: float, delay_s: float, state_
         finally:
             heads.unpersist()
             rows.unpersist()
+
+    def close(spark: SparkSession, batch_id: int | None = None) -> None:
+        number = last + 1 if batch_id is None else batch_id
+        if number > 0:
+            types = "type string, category string, timestamp timestamp, seq long, severity string, summary string, confidence double, raw string"
+            write(spark.createDataFrame([], types), number, closing=True)
+    write.close = close
     return write
 
 

@@ -14,7 +14,7 @@ from taxalog.plans.jobs import query
 from taxalog.storage import work_path
 from taxalog.sources.logs import stream_lines, stream_pages
 from taxalog.streaming import sinks
-from taxalog.streaming.streams import UNTIL_END, CountListener, buffered, dedup_event_time_batches, event_time_dedup, start
+from taxalog.streaming.streams import UNTIL_END, CountListener, buffered, dedup_event_time_batches, event_time_dedup, left_open, start
 
 T0 = datetime(2026, 3, 1, tzinfo=timezone.utc)
 COLUMNS = "seq long, type string, category string, severity string, timestamp timestamp, summary string, confidence double, raw string, count int"
@@ -55,6 +55,11 @@ def test_event_time_stream_equals_batch(spark, tmp_path):
     batch = deduplicate(spark.read.parquet(path), 5, "time", direct=True).filter("type <> 'Z'")
     assert got == sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in batch.collect())
     assert len(got) == 5
+    rest = left_open(spark, str(tmp_path / "cp"), 5).collect()
+    got = sorted(got + [(r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in rest])
+    whole = deduplicate(spark.read.parquet(path), 5, "time", direct=True)
+    assert got == sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in whole.collect())
+    assert len(got) == 6
 
 
 @pytest.mark.parametrize("how", [dict(direct=True), dict(chunk_windows=1, span_chunks=2)])
@@ -67,10 +72,20 @@ def test_event_time_batches_equal_batch(spark, tmp_path, how):
     start(stream, sink, str(tmp_path / "cp")).awaitTermination()
     got = sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in spark.read.parquet(out).collect())
     late = F.col("summary") == "s11"
+    whole = deduplicate(spark.read.parquet(path).filter(~late), 5, "time", direct=True)
     rows = spark.read.parquet(path).filter(~late)
     batch = deduplicate(rows, 5, "time", direct=True).filter("timestamp < '2026-03-01 00:05:00'")
     assert got == sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in batch.collect())
     assert len(got) == 6
+    sink.close(spark)
+    got = sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in spark.read.parquet(out).collect())
+    assert got == sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in whole.collect())
+    assert len(got) == 7
+
+
+def test_closing_an_empty_stream(spark, tmp_path):
+    dedup_event_time_batches(sinks.parquet(str(tmp_path / "out")), 5, 18, str(tmp_path / "state")).close(spark)
+    assert not (tmp_path / "out").exists()
 
 
 def test_text_stream_to_events_with_counts(spark, tmp_path):
