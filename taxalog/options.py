@@ -20,9 +20,7 @@ class Options:
     verbosity: str = "standard"
     strip_fields: tuple[str, ...] | None = None
     dedup_window_s: float = 5.0
-    max_buffer: int = 1000
     limit: int = 0
-    max_file_size: int = 0
 
     def validate(self) -> "Options":
         problems = []
@@ -34,7 +32,7 @@ class Options:
             problems.append(f"threshold lies outside 0 to 1: {self.threshold}")
         if self.verbosity not in VERBOSITIES:
             problems.append(f"unknown verbosity {self.verbosity!r}, known are {', '.join(VERBOSITIES)}")
-        for name in ("dedup_window_s", "max_buffer", "limit", "max_file_size"):
+        for name in ("dedup_window_s", "limit"):
             if getattr(self, name) < 0:
                 problems.append(f"{name} is below zero: {getattr(self, name)}")
         if problems:

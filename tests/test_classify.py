@@ -231,7 +231,7 @@ def test_taxonomy(spark):
 
 
 @pytest.mark.parametrize("bad", [dict(threshold=float("nan")), dict(threshold=1.5), dict(verbosity="loud"), dict(limit=-1),
-                                 dict(dedup_window_s=-1), dict(max_buffer=-1)])
+                                 dict(dedup_window_s=-1), dict(limit=-5)])
 def test_options_are_checked(bad):
     with pytest.raises(ValueError):
         Options(**bad).validate()
