@@ -29,7 +29,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 _BLOCKED = ("casino", "casino-win", "poker", "slots", "jackpot", "free-bets", "betting", "cheap-pills", "pharmacy-sale",
             "viagra", "adult-cams", "xxx", "porn-tube", "escort", "payday-loan", "win-prize", "crack-keygen", "warez")
 _KEPT = ("news", "library", "museum", "university", "cooking", "garden", "travel", "science", "weather", "history",
-         "music", "recipes", "sports", "health", "school", "city", "books", "forum", "docs", "therhe", "blog", "wiki")
+         "music", "recipes", "sports", "health", "school", "city", "books", "forum", "docs", "blog", "wiki")
 _SHAPES = ("{}.example.com/en/12", "www.{}.example.net/", "blog.{}.example.org/fr/34.html", "m.{}.site.com/de/page")
 
 
