@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from taxalog.functions.text import let, words
 from taxalog.functions.vectors import cosine, to_matrix
-from taxalog.operators.embed import Model, embed_labels, embed_text, encode_ids, with_vectors, word_piece_ids
+from taxalog.operators.embed import MAX_TOKENS, Model, embed_labels, embed_text, encode_ids, with_vectors, word_piece_ids
 from taxalog.operators.taxonomy import collect_labels
 
 UNCLASSIFIED = "UNCLASSIFIED"
@@ -222,11 +222,11 @@ class TransformerEmbedder:
 
     threshold = MODEL_THRESHOLD
 
-    def __init__(self, vocab, load: Callable[[], Callable], weights: np.ndarray | None = None):
-        self.vocab, self.load, self.weights = vocab, load, weights
+    def __init__(self, vocab, load: Callable[[], Callable], weights: np.ndarray | None = None, max_tokens: int = MAX_TOKENS):
+        self.vocab, self.load, self.weights, self.max_tokens = vocab, load, weights, max_tokens
 
     def encode(self, text: Column) -> Column:
-        ids = word_piece_ids(text, self.vocab)["ids"]
+        ids = word_piece_ids(text, self.vocab, self.max_tokens)["ids"]
         return encode_ids(F.when(text.isNotNull(), ids), self.load, self.weights)
 
     def match(self, text: Column, labels: DataFrame) -> tuple[Column, Column]:

@@ -34,7 +34,8 @@ from pyspark.sql import Window as W
 
 from taxalog.functions.text import format_duration
 
-CHUNK_WINDOWS = 64    # windows per chunk
+CHUNK_POINTS = 100_000  # points per chunk that are aimed at
+MAX_CHUNK_WINDOWS = 4096
 SPAN_CHUNKS = 512     # chunks per span
 SEQ_BUCKET = 1 << 20  # arrival numbers per bucket
 
@@ -244,14 +245,29 @@ def _number(value: Column, size: int) -> Column:
     return F.coalesce(F.floor(value / F.lit(size)), F.lit(0).cast("long"))
 
 
-def anchored_groups(points: DataFrame, window_us: int, chunk_windows: int = CHUNK_WINDOWS,
+def windows_per_chunk(points: DataFrame, window_us: int, aim: int = CHUNK_POINTS) -> int:
+    """Chunk length by density: the densest window of the data, so many times, makes ``aim`` points.
+
+    One window is the least, as a chunk has to hold the entries of its first
+    window. Rows are counted within tasks before the shuffle, and one number
+    comes to the driver. The groups are the same for any length.
+    """
+    bins = points.groupBy("key", F.floor(F.col("ts") / F.lit(max(window_us, 1)))).count()
+    densest = bins.agg(F.max("count")).first()[0]
+    return max(1, min(MAX_CHUNK_WINDOWS, aim // (densest or 1)))
+
+
+def anchored_groups(points: DataFrame, window_us: int, chunk_windows: int | None = None,
                     span_chunks: int = SPAN_CHUNKS, direct: bool = False) -> DataFrame:
     """Groups ``(key, anchor, n, latest, first_seq)`` of ``(key, ts, seq)`` rows, times in microseconds.
 
-    A column ``n`` says how many rows a point stands for, one by default.
+    A column ``n`` says how many rows a point stands for, one by default. Without
+    ``chunk_windows`` the chunks follow the density, see ``windows_per_chunk``.
     ``direct`` folds each key in one sorted pass, in one task. It saves the fixed
     cost of the steps and is meant for inputs of known size, such as micro-batches.
     """
+    if chunk_windows is None:
+        chunk_windows = 1 if direct else windows_per_chunk(points, window_us)
     chunk = max(window_us, 1) * chunk_windows
     weight = F.sum("n") if "n" in points.columns else F.count("*")
     # Steps and fold read the same shuffle, so both take all of its columns; a
@@ -319,6 +335,8 @@ def deduplicate(events: DataFrame, window_s: float = 5.0, order: str = "arrival"
         raise ValueError(f"order must be arrival or time, got {order!r}")
     window_us = round(window_s * 1_000_000)
     points = events.select(event_key().alias("key"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("ts"), "seq")
+    if not chunking.get("direct") and chunking.get("chunk_windows") is None:
+        chunking["chunk_windows"] = windows_per_chunk(points, window_us)  # before the clock, which takes several shuffles
     if order == "arrival":
         points = arrival_clock(points, "key", "ts", "seq")
     groups = anchored_groups(points, window_us, **chunking)

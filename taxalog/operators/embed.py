@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxalog.functions.text import basic_tokens, is_blank
+from taxalog.storage import stored
 
 BATCH = 128          # texts per model call
 MAX_TOKENS = 128     # with the two markers
 MAX_TOKEN_LENGTH = 200
 MAX_VOCAB = 1_000_000
+SALT_ROWS = 100_000  # rows of one text that meet in one task
 
 
 class Model(Protocol):
@@ -70,24 +72,27 @@ def with_vectors(labels: DataFrame, embedded: Column) -> DataFrame:
 
 
 def embed_once(rows: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], seq: str = "seq",
-               n_hot: int = 1000, salts: int = 64) -> DataFrame:
+               salt_rows: int = SALT_ROWS) -> DataFrame:
     """Run ``compute`` on each distinct ``key`` and join the result back.
 
-    Worth its shuffles only for a model that costs more than moving a row. The
-    ``n_hot`` most frequent texts count as hot, a list of fixed length that can
-    be broadcast: their rows are spread over ``salts`` partitions, and their
-    single result row is repeated for each.
+    Worth its shuffles only for a model that costs more than moving a row. Rows
+    and results meet by a 128-bit hash of the text, so a text travels to its
+    result once. A text with more than ``salt_rows`` rows is cut into parts of
+    about that size, and its single result row is repeated for each part. How
+    many texts are cut is no parameter; their table is stored, so that Spark knows
+    its size when it picks the join.
     """
-    copies = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = (copies.filter("_n > 1").orderBy(F.desc("_n"), key).limit(n_hot)
-           .select(key, F.lit(True).alias("_hot")))
-    salt = F.pmod(F.xxhash64(seq), F.lit(salts)).cast("int")
-    salted = (rows.join(F.broadcast(hot), key, "left")
-              .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)))
-    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    results = (compute(copies.select(key)).join(F.broadcast(hot), key, "left")
-               .withColumn("_salt", F.explode(each)).drop("_hot"))
-    return salted.join(results, [key, "_salt"], "left").drop("_hot", "_salt")
+    digest = F.unhex(F.md5(F.col(key)))
+    copies = stored(rows.groupBy(key).agg(F.count("*").alias("_n")), "copies")
+    hot = stored(copies.filter(F.col("_n") > salt_rows)
+                 .select(digest.alias("_text"), F.ceil(F.col("_n") / salt_rows).cast("int").alias("_salts")), "hot-texts")
+    part = F.pmod(F.xxhash64(seq), F.col("_salts")).cast("int")
+    salted = (rows.withColumn("_text", digest).join(hot, "_text", "left")
+              .withColumn("_salt", F.coalesce(part, F.lit(0))).drop("_salts"))
+    parts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    results = (compute(copies.select(key)).withColumn("_text", digest).drop(key).join(hot, "_text", "left")
+               .withColumn("_salt", F.explode(parts)).drop("_salts"))
+    return salted.join(results, ["_text", "_salt"], "left").drop("_text", "_salt")
 
 
 # --- WordPiece ----------------------------------------------------------------

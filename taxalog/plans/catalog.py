@@ -682,13 +682,15 @@ def top_per_chunk(spark, t):
     return top.select("event_type", "chunk", F.col("rank").cast("long").alias("rank"), "event_id")
 
 
-@registered("""SELECT seq, source, ts, raw FROM (SELECT event_id AS seq, 'clicks' AS source, ts, props AS raw FROM events WHERE event_type = 'click'
-    UNION ALL SELECT event_id, 'errors', ts, props FROM events WHERE event_type = 'error') ORDER BY ts, source, seq LIMIT 900""")
+@registered("""SELECT event_id AS seq, event_type || 's' AS source, ts, props AS raw FROM events ORDER BY ts, source, seq LIMIT 900""")
 def merge_sources(spark, t):
-    def part(kind, name):
-        return t["events"].filter(F.col("event_type") == kind).select(
-            F.col("event_id").alias("seq"), F.lit(name).alias("source"), "ts", F.col("props").alias("raw"))
-    return sources.merged([part("click", "clicks"), part("error", "errors")], 900, ("ts", "source", "seq"))
+    """Every event type as a source of its own."""
+    kinds = [r[0] for r in t["events"].select("event_type").distinct().orderBy("event_type").collect()]
+
+    def part(kind):
+        return t["events"].filter(F.col("event_type").eqNullSafe(F.lit(kind))).select(
+            F.col("event_id").alias("seq"), F.concat("event_type", F.lit("s")).alias("source"), "ts", F.col("props").alias("raw"))
+    return sources.merged([part(kind) for kind in kinds], 900, ("ts", "source", "seq"))
 
 
 def landed_pages(t: Tables, record: Column, array: str, schema, size: int = 100, **extra: Column) -> DataFrame:
@@ -719,8 +721,7 @@ def vercel_pages(spark, t):
 
 
 @registered("""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN TIMESTAMP '2024-02-01' ELSE ts END AS ts, event_type AS raw,
-  CASE WHEN event_id % 3 = 0 THEN 'overlay' ELSE 'ord' END AS region, CAST(user_id AS VARCHAR) AS custom, 5 AS n_metadata FROM events
-  WHERE event_id % 10 = 0 OR ts < TIMESTAMP '2024-01-20'""")
+  CASE WHEN event_id % 3 = 0 THEN 'overlay' ELSE 'ord' END AS region, CAST(user_id AS VARCHAR) AS custom, 5 AS n_metadata FROM events""")
 def flyio_pages(spark, t):
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     stamp = F.when(F.col("event_id") % 10 == 0, F.lit("yesterday")).otherwise(stamp)
@@ -732,7 +733,6 @@ def flyio_pages(spark, t):
     pages = landed_pages(t, record, "data", schemas.FLYIO_PAGE)
     now = datetime(2024, 2, 1, tzinfo=timezone.utc)
     rows = sources.flyio_logs(pages, "page_no", now=now)
-    rows = rows.filter((F.col("ts") < F.lit(utc(20))) | (F.col("ts") == F.lit(now)))
     m = F.col("metadata")
     return rows.select((F.col("page_no") * 100 + F.col("pos")).alias("event_id"), no_zone("ts").alias("ts"), "raw",
                        m["region"].alias("region"), m["custom"].alias("custom"), F.size(m).alias("n_metadata"))
@@ -752,10 +752,10 @@ def supabase_pages(spark, t):
                        m["table"].alias("tbl"), m["id"].alias("id"), m["extra"].alias("extra"), F.size(m).alias("n_metadata"))
 
 
-@registered("""SELECT event_id, ts FROM events WHERE event_id // 100 < 40 ORDER BY event_id LIMIT 1234""")
+@registered("""SELECT event_id, ts FROM events ORDER BY event_id LIMIT 1234""")
 def page_cursor_limit(spark, t):
     record = F.struct(F.col("event_id").cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"))
-    pages = landed_pages(t, record, "data", schemas.VERCEL_PAGE).filter("page_no < 40")
+    pages = landed_pages(t, record, "data", schemas.VERCEL_PAGE)
     rows = sources.page_order(sources.vercel_logs(pages, "page_no"), 1234)
     ids = rows.select(F.col("metadata")["id"].cast("long").alias("event_id"))
     return t["events"].select("event_id", "ts").join(ids, "event_id")

@@ -148,12 +148,14 @@ def test_no_labels(spark):
     assert (row["type"], row["category"], row["severity"], row["confidence"]) == ("UNCLASSIFIED", "", "warning", 0.0)
 
 
-def test_embed_once_with_a_hot_text(spark):
+def test_embed_once_with_hot_texts(spark):
     rows = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.concat(F.lit("t"), (F.col("id") % 700).cast("string"))).alias("text"))
-    out = embed.embed_once(rows, "text", lambda d: d.withColumn("n", F.length("text")), n_hot=3, salts=8)
-    assert out.count() == 5000
+    out = embed.embed_once(rows, "text", lambda d: d.withColumn("n", F.length("text")), salt_rows=100)
+    assert out.count() == 5000 and sorted(out.columns) == ["n", "seq", "text"]
     assert out.filter("n <> length(text) or n is null").count() == 0
+    blank = embed.embed_once(rows.withColumn("text", F.lit(None).cast("string")), "text", lambda d: d.withColumn("n", F.length("text")))
+    assert blank.filter("n is null").count() == 5000
 
 
 def test_word_pieces(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxalog.functions.text import format_duration
-from taxalog.operators.dedup import anchored_groups, arrival_clock, deduplicate, total_count
+from taxalog.operators.dedup import anchored_groups, arrival_clock, deduplicate, total_count, windows_per_chunk
 
 T0 = datetime(2026, 3, 1, tzinfo=timezone.utc)
 COLUMNS = "seq long, type string, category string, severity string, timestamp timestamp, summary string, confidence double, raw string, count int"
@@ -86,6 +86,13 @@ def test_against_model(spark, seed):
     assert {(r["key"], r["anchor"]): (r["n"], r["latest"], r["first_seq"]) for r in got} == want
 
 
+def test_chunks_follow_the_density(spark):
+    dense = spark.range(1000).select(F.lit("a").alias("key"), F.col("id").alias("ts"))
+    assert windows_per_chunk(dense, 100, aim=1000) == 10
+    assert windows_per_chunk(dense, 1000, aim=50) == 1
+    assert windows_per_chunk(dense.filter("false"), 100) == windows_per_chunk(dense.filter("ts % 100 = 0"), 1) == 4096
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_arrival_order_against_model(spark, seed):
     rnd = random.Random(100 + seed)
