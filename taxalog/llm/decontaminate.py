@@ -74,14 +74,23 @@ def block_keys(fp: Column, flips: int) -> Column:
     return F.array(*keys)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``own``, ``text``. Rows without doc_id are told apart by ``own``, a hash of their text; else it is null."""
+    return docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("own"), "text")
+
+
+def same_document() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("own").eqNullSafe(F.col("_own"))
+
+
 def doc_shingles(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``at``, ``h``: every shingle of every whole text, hashed in the scan's stage."""
+    """``doc_id``, ``own``, ``at``, ``h``: every shingle of every whole text, hashed in the scan's stage."""
     n = F.size("words")
     last = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0))))
     # The outer form keeps the optimizer from adding a filter that would split the text twice.
-    return (docs.select("doc_id", words_of(F.col("text")).alias("words"))
-            .select("doc_id", "words", F.explode_outer(last).alias("at"))
-            .where("at IS NOT NULL").select("doc_id", "at", shingle_at(F.col("words"), F.col("at")).alias("h")))
+    return (docs.select("doc_id", "own", words_of(F.col("text")).alias("words"))
+            .select("doc_id", "own", "words", F.explode_outer(last).alias("at"))
+            .where("at IS NOT NULL").select("doc_id", "own", "at", shingle_at(F.col("words"), F.col("at")).alias("h")))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -94,7 +103,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def item_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id``, ``features``: the item-sized windows, each document's own ones once.
+    """``doc_id``, ``own``, ``features``: the item-sized windows of ``named`` documents, each document's ones once.
 
     ``features``: the window's shingles as a set of longs, see ``weighted``.
     """
@@ -103,9 +112,9 @@ def item_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     shingles, found = doc_shingles(docs), None
     for part in range(parts):
         own = seeds.where(F.pmod(F.col("h"), F.lit(parts)) == part)
-        hit = shingles.join(F.broadcast(own), "h").select("doc_id", (F.col("at") - F.col("j")).alias("start"), "n")
+        hit = shingles.join(F.broadcast(own), "h").select("doc_id", "own", (F.col("at") - F.col("j")).alias("start"), "n")
         found = hit if found is None else found.unionByName(hit)
-    spans = (found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "n")).alias("spans")))
+    spans = (found.groupBy(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).agg(F.collect_set(F.struct("start", "n")).alias("spans")))
 
     def features(words, span):
         first = F.greatest(span["start"], F.lit(0))
@@ -115,18 +124,12 @@ def item_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     def windows(words):
         return F.array_distinct(F.transform("spans", lambda span: features(words, span)))
 
-    return (docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")))
-            .select("doc_id", F.explode(bound(words_of(F.col("text")), windows)).alias("features")))
+    return (docs.join(spans, same_document())
+            .select("doc_id", "own", F.explode(bound(words_of(F.col("text")), windows)).alias("features")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id``, ``item_id``, ``similarity`` (double): every item that a document holds.
-
-    The similarity is the best weighted Jaccard of word shingles between the item
-    and an item-sized window, at least ``similarity``. Case and punctuation do not
-    count. Items of fewer than five words match texts of just these words. Null,
-    blank or wordless texts and items match nothing; repeated rows of a doc_id
-    count as one; a null doc_id is reported as null. Other columns are ignored.
+def found_items(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """``doc_id``, ``own``, ``item_id``, ``similarity`` of every window of ``named`` documents that is an item.
 
     Equal windows are one row until the last join, so a passage that a third of
     the documents holds is looked up and compared once.
@@ -145,10 +148,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return common / (F.size("features") + F.size("item") - common)
     pairs = (pairs.withColumn("similarity", bound(F.size(F.array_intersect("features", "item")), jaccard))
              .where(F.col("similarity") >= similarity).select("features", "item_id", "similarity"))
-    return windows.join(pairs, "features").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    return windows.join(pairs, "features").drop("features")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id``, ``item_id``, ``similarity`` (double): every item that a document holds.
+
+    The similarity is the best weighted Jaccard of word shingles between the item
+    and an item-sized window, at least ``similarity``. Case and punctuation do not
+    count. Items of fewer than five words match texts of just these words. Null,
+    blank or wordless texts and items match nothing; repeated rows of a doc_id
+    count as one; a null doc_id is reported as null, its row for itself by ``clean``.
+    Other columns are ignored.
+    """
+    return (found_items(named(docs), benchmark, similarity).groupBy("doc_id", "item_id")
+            .agg(F.max("similarity").alias("similarity")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with the columns of ``docs``."""
-    found = contaminated(docs.select("doc_id", "text"), benchmark, similarity).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of ``docs`` that hold no item, with the columns of ``docs``. Rows without doc_id are judged one by one."""
+    found = found_items(named(docs), benchmark, similarity).select(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).distinct()
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & own.eqNullSafe(F.col("_own")), "left_anti")

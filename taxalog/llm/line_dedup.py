@@ -30,20 +30,29 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id``, ``key`` (binary): each long line of a text once."""
+    """``doc_id``, ``own``, ``key`` (binary): each long line of a text once.
+
+    ``own`` tells rows without doc_id apart, by a hash of the text; else it is null.
+    """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids, keys = [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids, owns, keys = [], [], []
+                for doc_id, own_id, text in zip(*(c.to_pylist() for c in part.columns)):
                     own = {line_key(line, min_chars) for line in (text or b"").split(b"\n")} - {None}
                     ids += [doc_id] * len(own)
+                    owns += [own_id] * len(own)
                     keys += own
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owns, pa.int64()), pa.array(keys, pa.binary())],
+                                                 names=["doc_id", "own", "key"])
+
+    return (docs.select(F.col("doc_id").cast("long"), own_of().alias("own"), F.col("text").cast("binary"))
+            .mapInArrow(split, "doc_id long, own long, key binary"))
+
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-            .mapInArrow(split, "doc_id long, key binary"))
+def own_of():
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
 
 def shared_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -62,7 +71,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     Null or empty texts are one empty line and come out as "". A document whose
     lines all go keeps an empty text. Repeated rows of a doc_id are one document
     when counting, and lose the same lines. A null doc_id counts for no line, and
-    rows with it lose every shared line that any of them holds. Existing columns
+    each row with it loses its shared lines for itself. Existing columns
     ``n_lines`` and ``n_dropped`` are replaced, others pass through.
 
     The keys (24 bytes a long line) are written once and read for the count and
@@ -72,7 +81,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     # A table of its own: broadcast while small, else joined over exchanges that adaptive execution can split.
     shared = stored(shared_lines(keys, min_docs), "shared-lines")
     lost = (keys.join(shared, "key").where("NOT doc_id <=> keeper")
-            .groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("key").alias("_lost")))
+            .groupBy(F.col("doc_id").alias("_lost_id"), F.col("own").alias("_lost_own")).agg(F.collect_set("key").alias("_lost")))
 
     @F.arrow_udf("text string, n_lines long, n_dropped long")
     def reassemble(texts: pa.Array, lost: pa.Array) -> pa.Array:
@@ -87,7 +96,8 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                                           names=["text", "n_lines", "n_dropped"])
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*names).join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left")
+    rows = docs.select(*names).join(
+        lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & own_of().eqNullSafe(F.col("_lost_own")), "left")
     rows = rows.withColumn("_new", reassemble(F.col("text").cast("binary"), "_lost"))
     return rows.select(*(F.col("_new.text").alias("text") if c == "text" else c for c in names),
                        "_new.n_lines", "_new.n_dropped")

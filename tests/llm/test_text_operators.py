@@ -139,7 +139,7 @@ def test_lines_against_plain_python(spark):
     other = "another line that is long enough to count but rare"
     rows = [(k, f"{shared}\nown {k}\n{shared.upper()}\n\n{other if k < 4 else ''}", "en", "s", 1) for k in range(9)]
     rows += [(20, None, None, None, None), (21, "", "", "", 0), (22, shared, "en", "s", 1), (22, shared, "en", "s", 1),
-             (None, shared + "\nx", "en", "s", 1), (23, "é" * 39 + "\n" + "é" * 40, "fr", "s", 1)]
+             (None, shared + "\nx", "en", "s", 1), (None, "y\n" + shared, "en", "s", 1), (None, None, "en", "s", 1), (23, "é" * 39 + "\n" + "é" * 40, "fr", "s", 1)]
     docs = documents(spark, rows).withColumn("n_lines", mixing.F.lit("old"))
     got = line_dedup.drop_shared_lines(docs)
     assert got.columns == [*SCHEMA.replace(",", "").split()[::2], "n_lines", "n_dropped"]
@@ -243,14 +243,16 @@ def test_contamination_against_all_windows(spark):
             leak = leak[:len(leak) // 2]
         docs.append((k, f"{prose(80)} {' '.join(leak)} {prose(40)}", "en", "s", 1))
     docs += [(100, items[3][1], "en", "s", 1), (100, items[4][1], "en", "s", 1), (101, None, None, None, None), (102, "", "", "", 0),
-             (103, "Too SHORT!", "en", "s", 1), (None, prose(9) + " " + items[2][1], "en", "s", 1), (104, "b a a a a a a a a a b", "en", "s", 1)]
+             (103, "Too SHORT!", "en", "s", 1), (None, prose(9) + " " + items[2][1], "en", "s", 1),
+             (None, prose(60), "en", "s", 1), (None, None, "en", "s", 1), (104, "b a a a a a a a a a b", "en", "s", 1)]
     frame, bench = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(frame, bench).collect()}
     want = brute_contaminated(docs, items)
     assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != pytest.approx(want.get(k))} == {}
     kept = [r.doc_id for r in decontaminate.clean(frame, bench).collect()]
-    bad = {i for i, _ in got}
-    assert sorted(kept, key=repr) == sorted((d[0] for d in docs if d[0] not in bad), key=repr)
+    bad = {i for i, _ in got} - {None}
+    clean = [d[0] for d in docs if d[0] not in bad and not (d[0] is None and brute_contaminated([d], items))]
+    assert clean.count(None) == 2 and sorted(kept, key=repr) == sorted(clean, key=repr)
     assert decontaminate.contaminated(frame, bench.where("false")).count() == 0
     assert decontaminate.contaminated(frame.where("false"), bench).count() == 0
 
@@ -276,7 +278,7 @@ def test_simhash_index_finds_every_print_in_the_radius(spark):
 
 
 def test_decontamination_runs_no_python(spark):
-    frame = decontaminate.doc_shingles(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    frame = decontaminate.doc_shingles(decontaminate.named(spark.read.parquet(f"{SMALL}/documents.parquet")))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("split(") == 1
 
