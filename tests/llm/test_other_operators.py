@@ -184,5 +184,23 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert got == want
 
 
+def test_no_link_of_a_tight_group_is_lost(spark, monkeypatch):
+    """A third of the rows are near copies, so a third of the lists are theirs: far more than a fixed number of probes reads."""
+    monkeypatch.setattr(embedding_dedup, "LIST", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 512)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9000, 16))
+    x[:3000] = np.r_[np.ones(8), -np.ones(8)] + rng.normal(size=(3000, 16)) * 0.22
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect()}
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = np.concatenate([(unit[a:a + 1000] @ unit.T >= 0.9).sum(1) - 1 for a in range(0, len(x), 1000)])
+    assert len(x) // embedding_dedup.LIST == 450 and want[:3000].mean() > 1500
+    assert [got[k][0] for k in range(len(x))] == want.tolist()
+    assert len({got[k][1] for k in range(3000) if want[k] > 1500}) == 1
+
+
 def test_vectors_of_an_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
