@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxalog.llm import chat, decontaminate, embedding_dedup, language, line_dedup, mixing, pii, simhash_dedup, url_filter, warc
+from taxalog.llm import audits, chat, decontaminate, embedding_dedup, language, line_dedup, mixing, pii, simhash_dedup, url_filter, warc
 from taxalog.storage import stored
 
 
@@ -202,8 +202,8 @@ def queries() -> dict:
         "op1_url_filter": op1, "op2_pii": op2, "op3_decontamination": op3, "op4_warc": op4, "op5_chat_format": op5,
         "op6_source_mix": op6, "op7_line_dedup": op7, "op8_embedding_dedup": op8, "op9_language_id": op9,
         "op10_simhash_dedup": op10, "pipeline": corpus_pipeline.run,
-    }
+    } | audits.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op5_chat_format": OP5, "op6_source_mix": OP6, "op7_line_dedup": OP7, "op8_embedding_dedup": OP8}
+    return {"op4_warc": OP4, "op5_chat_format": OP5, "op6_source_mix": OP6, "op7_line_dedup": OP7, "op8_embedding_dedup": OP8} | audits.oracle_sql()
