@@ -4,13 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxalog.llm import filter_audit
+from taxalog.llm import divergence, filter_audit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), k AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 30
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang
+), c AS (
+  SELECT t.lang, source, t.term, count(*)::HUGEINT AS n
+  FROM (SELECT lang, source, unnest(terms) AS term FROM d) t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, source, t.term
+), g AS (
+  SELECT DISTINCT d.lang, d.source FROM d
+), s AS (
+  SELECT g.lang, g.source, v.v, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS total
+  FROM g JOIN v ON g.lang = v.lang
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.total + 5 * s.v) AS p
+  FROM s JOIN k ON s.lang = k.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), q AS (
+  SELECT t.lang, t.term, 1 + (1000000000::HUGEINT * (t.n + 5)) // (t.total + 5 * v.v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n, (sum(sum(n)) OVER (PARTITION BY lang))::HUGEINT AS total FROM c GROUP BY lang, term) t
+  JOIN v ON t.lang = v.lang
+), w AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(w.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, CAST(p.p - q.q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term
+  WHERE p.n > 0 AND p.p > q.q
+), o AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r
+)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,8 +108,8 @@ FROM t
 
 
 def queries() -> dict:
-    return {"op13_filter_audit": op13}
+    return {"op12_source_divergence": op12, "op13_filter_audit": op13}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_filter_audit": OP13}
+    return {"op12_source_divergence": OP12, "op13_filter_audit": OP13}
