@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taxalog.llm import divergence, filter_audit
+from taxalog.llm import divergence, filter_audit, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -108,7 +114,7 @@ FROM t
 
 
 def queries() -> dict:
-    return {"op12_source_divergence": op12, "op13_filter_audit": op13}
+    return {"op11_repeats": op11, "op12_source_divergence": op12, "op13_filter_audit": op13}
 
 
 def oracle_sql() -> dict[str, str]:
