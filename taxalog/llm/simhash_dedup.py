@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxalog.llm.columns import free
 from taxalog.llm.graph import components, forest
 from taxalog.llm.words import fingerprint
 from taxalog.storage import stored
@@ -133,25 +134,35 @@ def assign_components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS)
     Repeated rows stay. Other columns are ignored.
     """
     prints = stored(fingerprints(docs.select("doc_id", "text"), width).select("doc_id", "fp"), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-                   .withColumn("node", F.coalesce("first", F.xxhash64("fp"))), "nodes")
-    found = components(near_links(nodes.select("fp", "node"), radius))
-    named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = print_components(prints, radius)
     # A node without any doc_id is no name for others: the smallest real one is.
     real = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(real, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def print_components(prints: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``first`` (smallest doc_id with it), ``component`` of each fingerprint of ``prints`` (doc_id, fp)."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+                   .withColumn("node", F.coalesce("first", F.xxhash64("fp"))), "nodes")
+    found = components(near_links(nodes.select("fp", "node"), radius))
+    return nodes.join(found, "node", "left").select("fp", "first", F.coalesce("component", "node").alias("component"))
+
+
 def keep_first(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with the columns of ``docs``.
+    """One row of each component, with the columns of ``docs``: that of the smallest doc_id, then of the smallest hash of its text.
 
-    Of repeated rows with that doc_id the one with the smallest text stays.
-    Rows without doc_id stay, as nothing tells them apart.
+    Rows without doc_id belong to components like others and stay only where
+    theirs has no doc_id. Of repeated rows (one doc_id and text) one stays. Whole rows
+    are shuffled once, to meet the chosen keys.
     """
-    firsts = (assign_components(docs, width, radius).where("doc_id = component_id")
-              .select(F.col("doc_id").alias("_first")).distinct())
-    kept = docs.join(firsts, F.col("doc_id") == F.col("_first"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    d, o, row, own = free(docs, "_d", "_o", "_row", "_own")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = stored(fingerprints(docs.select("doc_id", "text", text_hash.alias("own")), width).select("doc_id", "own", "fp"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own")).alias("best")
+    chosen = (prints.join(print_components(prints, radius).select("fp", "component"), "fp")
+              .groupBy("component").agg(first).select(F.col("best.doc_id").alias(d), F.col("best.own").alias(o)))
+    rows = docs.withColumn(own, text_hash)
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(o)), "left_semi")
+    order = Window.partitionBy("doc_id", own).orderBy("text")
+    return kept.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).select(*docs.columns)
