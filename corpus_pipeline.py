@@ -6,7 +6,7 @@ result as Parquet to the shared folder and hands the table to the next stage.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxalog.llm import decontaminate, language, line_dedup, mixing, near_copies
+from taxalog.llm import decontaminate, language, line_dedup, mixing, simhash_dedup
 from taxalog.storage import stored
 
 
@@ -21,8 +21,8 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that five-word shingles at similarity 0.8 or more connect."""
-    return near_copies.keep_one(docs)
+    """The first document of each group that SimHash prints of four-word shingles connect at four bits or fewer."""
+    return simhash_dedup.keep_first(docs, simhash_dedup.WIDTH, simhash_dedup.RADIUS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
