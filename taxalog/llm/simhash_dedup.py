@@ -153,8 +153,8 @@ def keep_first(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Dat
     """One row of each component, with the columns of ``docs``: that of the smallest doc_id, then of the smallest hash of its text.
 
     Rows without doc_id belong to components like others and stay only where
-    theirs has no doc_id. Of repeated rows (one doc_id and text) one stays. Whole rows
-    are shuffled once, to meet the chosen keys.
+    theirs has no doc_id. Rows with one doc_id are one document, of which one row
+    stays. Whole rows are shuffled once, to meet the chosen keys.
     """
     d, o, row, own = free(docs, "_d", "_o", "_row", "_own")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))

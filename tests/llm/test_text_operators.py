@@ -140,7 +140,8 @@ def brute_firsts(rows):
     label = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
-            if label[a] != label[b] and (prints[a] ^ prints[b]).bit_count() <= 4:
+            one = rows[a][0] is not None and rows[a][0] == rows[b][0]  # rows of one doc_id are one document
+            if label[a] != label[b] and (one or (prints[a] ^ prints[b]).bit_count() <= 4):
                 label = [label[b] if x == label[a] else x for x in label]
     for row, group in zip(rows, label):
         best[group] = min(best.get(group, row), row, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
