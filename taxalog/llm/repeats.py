@@ -31,9 +31,9 @@ MIN_BYTES = 400
 #: Gram lengths of the first and the later cuts, as shares of ``min_bytes``; the last is all of it.
 WIDTHS = (0.25, 0.95, 1.0)
 #: Different pieces that one suffix order takes; beyond, their strings are cut with longer grams.
-PIECES = 1024
+PIECES = 512
 #: Bytes that are hashed, and that are put in suffix order, at a time.
-SLICE = 1 << 20
+SLICE, SORTED = 1 << 18, 1 << 18
 #: Bits of a sieve: 16 a key, at most 16 MiB however many keys there are.
 SIEVE_BITS, KEY_BITS = 1 << 27, 16
 SEED = 0x9E3779B97F4A7C15
@@ -89,7 +89,7 @@ def cut(text: np.ndarray, ends: np.ndarray, width: int, length: int) -> tuple[np
 
 
 def buffers(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and last row, bytes and ends of the rows' texts, some 4 MiB of text at a time or one text."""
+    """First and last row, bytes and ends of the rows' texts, some 1 MiB of text at a time or one text."""
     values = batch.column(column).cast(pa.large_binary()).fill_null(b"")
     sizes = np.fromiter((len(v.as_buffer() or b"") for v in values), np.int64, len(values))
     low = 0
@@ -135,14 +135,14 @@ def suffix_ranks(text: np.ndarray, room: np.ndarray, length: int) -> list[tuple[
     out = []
     while True:
         at = np.flatnonzero(room >= h)
-        rank = np.zeros(n, np.int64)
+        rank = np.zeros(n, np.int32)
         rank[at] = np.unique(key[at], return_inverse=True)[1] + 1
         out.append((h, rank))
         if h == length:
             return out
         step = min(h, length - h)
         key = np.zeros(n, np.int64)
-        key[:n - step] = rank[:n - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
+        key[:n - step] = rank[:n - step] * np.int64(int(rank.max(initial=0)) + 1) + rank[step:]
         h += step
 
 
@@ -230,13 +230,13 @@ def spans_of(rows: list[tuple], keep_first: bool, length: int) -> pa.RecordBatch
 def suffix_spans(fragments: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """``doc_id``, ``own``, ``low``, ``high`` (bytes) of what is repeated in ``fragments`` (hash, doc_id, own, base, text).
 
-    Whole hashes, some 1 MiB of text at a time, are put in suffix order in a task.
+    Whole hashes, some 256 KiB of text at a time, are put in suffix order in a task.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[0] != held[-1][0] and size > SLICE:
+                if held and row[0] != held[-1][0] and size > SORTED:
                     yield spans_of(held, keep_first, length)
                     held, size = [], 0
                 if held and row[:4] == held[-1][:4]:  # a repeated row of documents
