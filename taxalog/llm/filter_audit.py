@@ -1,7 +1,7 @@
 """How document filters interact, over a sparse document-term matrix (operator 13).
 
-Texts are read once into CSR shards with a dictionary of their own each. The
-distinct words of all shards get global numbers, every shard's columns are renumbered,
+Texts are read once into CSR shards with a dictionary of their own each. The words
+of all shards get global numbers, every shard's columns are renumbered,
 and row sums and nonzero counts of the matrix decide the two filters on words. The
 flags of the others travel with the rows. What remains of a document is one of 32
 sets of failed filters, so the audit of all orders works on their counts.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,11 +29,10 @@ MIN_WORDS = 100
 MIN_DISTINCT, MAX_CAPITALS = 80, 10
 SYMBOLS = b"#$%&*|"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SHARD_ROWS, SHARD_BYTES = 2048, 8 << 20
-BUCKETS = 1024
+SHARD_ROWS, SHARD_BYTES = 8192, 16 << 20
 
 _SHARD = ("shard long, doc_id array<long>, part array<string>, flags array<int>, digest array<binary>, "
-          "starts array<long>, columns array<long>, counts array<long>, words array<binary>")
+          "starts array<long>, columns array<int>, counts array<int>, words array<binary>")
 
 
 def text_flags(text: bytes) -> int:
@@ -54,8 +54,8 @@ class Shard:
     def add(self, doc_id, part, text: bytes):
         known = self.words
         own = Counter(text.split())  # on bytes, split knows the six white-space characters of ASCII only
-        self.columns.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.int64, len(own)))
-        self.counts.append(np.fromiter(own.values(), np.int64, len(own)))
+        self.columns.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, len(own)))
+        self.counts.append(np.fromiter(own.values(), np.int32, len(own)))
         self.starts.append(self.starts[-1] + len(own))
         self.ids.append(doc_id)
         self.parts.append(part)
@@ -68,17 +68,17 @@ class Shard:
 
     def batch(self, number: int) -> pa.RecordBatch:
         def joined(arrays):
-            return np.concatenate([np.empty(0, np.int64), *arrays])
+            return np.concatenate([np.empty(0, np.int32), *arrays])
         return pa.RecordBatch.from_arrays([
             pa.array([number]), pa.array([self.ids], pa.list_(pa.int64())), pa.array([self.parts], pa.list_(pa.string())),
             pa.array([self.flags], pa.list_(pa.int32())), pa.array([self.digests], pa.list_(pa.binary())),
-            pa.array([self.starts], pa.list_(pa.int64())), pa.array([joined(self.columns)], pa.list_(pa.int64())),
-            pa.array([joined(self.counts)], pa.list_(pa.int64())), pa.array([list(self.words)], pa.list_(pa.binary())),
+            pa.array([self.starts], pa.list_(pa.int64())), pa.array([joined(self.columns)], pa.list_(pa.int32())),
+            pa.array([joined(self.counts)], pa.list_(pa.int32())), pa.array([list(self.words)], pa.list_(pa.binary())),
         ], names=[f.split()[0] for f in _SHARD.split(", ")])
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """CSR shards of ``docs`` (doc_id, lang, text): at most 2048 rows or, but for one text, 8 MiB of text each.
+    """CSR shards of ``docs`` (doc_id, lang, text): at most 8192 rows or, but for one text, 16 MiB of text each.
 
     ``starts`` delimits the rows in ``columns`` and ``counts``; ``words`` names the
     columns of the shard. A task numbers its shards on from its partition's number.
@@ -99,29 +99,31 @@ def shards(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")), text).mapInArrow(build, _SHARD)
 
 
-def dictionary(parts: DataFrame) -> DataFrame:
-    """``word``, ``id`` of every distinct word of the shards: numbers from 0 without gaps.
+def numbered(parts: DataFrame) -> DataFrame:
+    """``shard``, ``place``, ``id``: the global number of each word of each shard.
 
-    Words are numbered within 1024 hash buckets, and the buckets' sizes give where each begins.
+    Equal words meet sorted in one partition, whose number is the upper part of
+    theirs; the lower part counts its distinct words. Only the shards' vocabularies
+    are shuffled, not the words of the documents, and nothing is held but the last word.
     """
-    words = stored(parts.select(F.explode("words").alias("word")).distinct()
-                   .withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")), "words")
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over a row per bucket
-    starts = (words.groupBy("bucket").agg(F.count("*").alias("n"))
-              .select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("word"))
-    return (words.withColumn("place", place).join(F.broadcast(starts), "bucket")
-            .select("word", (F.col("start") + F.col("place") - 1).alias("id")))
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = None, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            words = batch.column(0)
+            new = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False) if len(words) > 1 else np.empty(0, bool)
+            ids = at + np.cumsum(np.r_[len(words) > 0 and words[0] != last, new])
+            if len(words):
+                last, at = words[len(words) - 1], int(ids[-1])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids)], names=["shard", "place", "id"])
 
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (parts.select("shard", F.posexplode("words").alias("place", "word")).select("word", "shard", "place")
+            .repartition(n, "word").sortWithinPartitions("word").mapInArrow(number, "shard long, place int, id long"))
 
-def encoded(parts: DataFrame) -> DataFrame:
-    """The shards with ``ids``: the global number of each of their words, in the order of ``words``.
 
-    Only the shards' vocabularies meet the dictionary, not the words of the documents.
-    """
-    used = parts.select("shard", F.posexplode("words").alias("place", "word")).join(dictionary(parts), "word")
-    order = (used.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("order"))
-             .select("shard", F.col("order.id").alias("ids")))
+def encoded(parts: DataFrame) -> DataFrame:
+    """The shards with ``ids`` in place of ``words``: (place, id) of each word, in any order."""
+    order = numbered(parts).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("ids"))
     return parts.drop("words").join(order, "shard", "left")
 
 
@@ -131,8 +133,11 @@ def matrix_rows(parts: DataFrame) -> DataFrame:
         for batch in batches:
             for shard in range(batch.num_rows):
                 ids, part, flags, digest, starts, columns, counts, names = (c[shard].values for c in batch.columns)
-                starts, counts = starts.to_numpy(), counts.to_numpy()
-                names = np.empty(0, np.int64) if names is None else names.to_numpy()
+                starts, counts = starts.to_numpy(), counts.to_numpy().astype(np.int64)
+                place, number = (np.empty(0, np.int64),) * 2 if names is None else (names.field(k).to_numpy() for k in (0, 1))
+                dense = np.unique(number, return_inverse=True)[1]  # one column per global number that the shard has
+                names = np.empty(len(place), np.int64)
+                names[place] = dense
                 row = np.repeat(np.arange(len(ids)), np.diff(starts))
                 words = np.add.reduceat(np.append(counts, 0), starts[:-1]) * (np.diff(starts) > 0)
                 # Nonzeros by global column: two columns of a shard are never one word, and this would show it.
