@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from taxalog import schemas
@@ -20,7 +20,7 @@ from taxalog.functions.jsonfields import DEFAULT_STRIP_FIELDS, strip_fields
 from taxalog.functions.vectors import masked_mean, project
 from taxalog.operators import batching, classify, dedup, embed, evaluate, taxonomy
 from taxalog.operators.compact import compact, compaction_report
-from taxalog.operators.normalize import (by_severity, classify as label_logs, default_time, event_fields, event_json,
+from taxalog.operators.normalize import (Normalizer, by_severity, classify as label_logs, default_time, event_fields, event_json,
                                          normalize, split_rejects)
 from taxalog.options import Options
 from taxalog.plans.jobs import query, spread
@@ -867,8 +867,6 @@ def drained(events: DataFrame, name: str, through=lambda sink: sink, rest=None)
     sink = through(sinks.parquet(path))
     checkpoint = work_path(spark, f"{name}-checkpoint")
     streams.start(events, sink, checkpoint).awaitTermination()
-    if hasattr(sink, "close"):
-        sink.close(spark)
     if rest is not None:
         sink(rest(checkpoint), -1)
     return spark.read.parquet(path)
@@ -890,17 +888,80 @@ def stream_micro_batches(spark, t):
 
 @registered(f"WITH RECURSIVE {dedup_sql('ts', 3600)} {DEDUP_OUT}")
 def stream_event_time(spark, t):
+    streams.use_rocksdb(spark)
     rows = event_stream_rows(file_stream(spark, t, "events"))
     return dedup_out(drained(streams.event_time_dedup(rows, 3600, "0 seconds"), "event-time",
                              rest=lambda checkpoint: streams.left_open(spark, checkpoint, 3600)))
 
 
+def in_slices(events: DataFrame, slices: int = 4) -> DataFrame:
+    """``events`` landed as a folder per stretch of time, one after the other, read as a stream of one file a batch."""
+    spark, path = events.sparkSession, work_path(events.sparkSession, "slices")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    edges = [low + (high - low) * k / slices for k in range(1, slices)] if low is not None else []
+    for start, end in zip([None, *edges], [*edges, None]):
+        sources.in_range(events, start, end).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @registered(f"WITH RECURSIVE {dedup_sql('ts', 3600)} {DEDUP_OUT}")
 def stream_event_time_chunked(spark, t):
+    """The same over several batches, groups and waiting rows going from one to the next."""
+    streams.use_rocksdb(spark)
+    rows = event_stream_rows(in_slices(t["events"]))
+    return dedup_out(drained(streams.event_time_dedup(rows, 3600, "1 hour"), "event-time-chunked",
+                             rest=lambda checkpoint: streams.left_open(spark, checkpoint, 3600)))
+
+
+@registered("SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1")
+def stream_null_times(spark, t):
+    """Every seventh event without a time: it counts with the time of its batch, and no row is lost."""
+    streams.use_rocksdb(spark)
     rows = event_stream_rows(file_stream(spark, t, "events"))
-    state = work_path(spark, "event-time-state")
-    return dedup_out(drained(rows, "event-time-chunked",
-                             lambda sink: streams.dedup_event_time_batches(sink, 3600, 7200, state)))
+    rows = rows.withColumn("timestamp", F.when(F.col("seq") % 7 != 0, F.col("timestamp")))
+    out = drained(streams.event_time_dedup(rows, 60, "0 seconds"), "null-times",
+                  rest=lambda checkpoint: streams.left_open(spark, checkpoint, 60))
+    return out.groupBy("category").agg(F.sum(F.greatest("count", F.lit(1))).cast("long").alias("n"))
+
+
+@registered("""SELECT count(*) AS seen, count(*) FILTER (NOT contains(text, '@')) AS written, count(*) FILTER (contains(text, '@')) AS skipped,
+  count(*) FILTER (NOT contains(text, '@')) AS events, count(*) FILTER (contains(text, '@')) AS rejects FROM documents""")
+def stream_counts(spark, t):
+    """Counters of a stream whose model fails on some rows, beside what came out."""
+    docs = file_stream(spark, t, "documents")
+    logs = docs.select(F.col("doc_id").alias("seq"), F.lit(None).cast("timestamp").alias("ts"), F.col("text").alias("raw"))
+    path = work_path(spark, "rejects")
+    listener = streams.CountListener("counted")
+    spark.streams.addListener(listener)
+    try:
+        rows = streams.counted_events(logs, embedder=classify.ModelEmbedder(PickyModel), name="counted")
+        events = drained(rows, "counted", lambda sink: streams.with_rejects(sink, sinks.parquet(path)))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    written, skipped = (sum(b[k] for b in listener.batches) for k in (1, 2))
+    out = events.select(F.lit(1).alias("event")).unionByName(spark.read.parquet(path).select(F.lit(0).alias("event")))
+    return out.agg(F.lit(written + skipped).cast("long").alias("seen"), F.lit(written).cast("long").alias("written"),
+                   F.lit(skipped).cast("long").alias("skipped"), F.count_if(F.col("event") == 1).alias("events"),
+                   F.count_if(F.col("event") == 0).alias("rejects"))
+
+
+@registered("""SELECT count(*) AS seen, count(*) FILTER (NOT contains(text, '@')) AS written, count(*) FILTER (contains(text, '@')) AS skipped,
+  count(*) FILTER (contains(text, '@')) AS rejects FROM documents""")
+def job_counts(spark, t):
+    """The same counters of a one-shot job, kept by an observation."""
+    folder = work_path(spark, "lines")
+    t["documents"].select(F.to_json(F.struct(F.lit(0).alias("page"), F.array(F.struct(
+        F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") * 1000).alias("timestamp"), F.lit("lambda").alias("source"),
+        F.col("text").alias("message"), F.lit("info").alias("level"))).alias("data"))).alias("value")).write.text(folder)
+    counts = Observation()
+    rejected = query(spark, "vercel", [sinks.parquet(work_path(spark, "job"))], datetime(1970, 1, 1, tzinfo=timezone.utc),
+                     datetime(2100, 1, 1, tzinfo=timezone.utc), Normalizer(spark, embedder=classify.ModelEmbedder(PickyModel)),
+                     dedup=False, counts=counts, path=folder)
+    written, skipped = counts.get["written"], counts.get["skipped"]
+    return rejected.agg(F.count("*").alias("rejects")).select(
+        F.lit(written + skipped).cast("long").alias("seen"), F.lit(written).cast("long").alias("written"),
+        F.lit(skipped).cast("long").alias("skipped"), "rejects")
 
 
 @registered("SELECT event_id, ts FROM events")

@@ -2,19 +2,24 @@ import json
 import time
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from taxalog.operators.batching import local_batches, ordered_batches, payloads
+from taxalog.operators.classify import ModelEmbedder
 from taxalog.operators.dedup import deduplicate, total_count
 from taxalog.operators.evaluate import observe_counts
 from taxalog.operators.normalize import Normalizer, event_json, normalize
 from taxalog.options import Options
+from taxalog.plans.catalog import PickyModel
 from taxalog.plans.jobs import query
 from taxalog.storage import work_path
 from taxalog.sources.logs import stream_lines, stream_pages
 from taxalog.streaming import sinks
-from taxalog.streaming.streams import UNTIL_END, CountListener, buffered, dedup_event_time_batches, event_time_dedup, left_open, start
+from taxalog.streaming.streams import (UNTIL_END, CountListener, buffered, counted_events, event_time_dedup, fold_times, left_open, start,
+                                       use_rocksdb, with_rejects)
 
 T0 = datetime(2026, 3, 1, tzinfo=timezone.utc)
 COLUMNS = "seq long, type string, category string, severity string, timestamp timestamp, summary string, confidence double, raw string, count int"
@@ -45,47 +50,97 @@ def test_micro_batches_do_not_share_groups(spark, tmp_path):
     assert total_count(rows).first()["total"] == 4
 
 
-def test_event_time_stream_equals_batch(spark, tmp_path):
-    parts = [[("A", 0), ("A", 4), ("B", 1), ("A", 1)], [("A", 3), ("A", 6), ("B", 5.5)], [("A", 20), ("B", 7), ("A", 20)],
-             [("Z", 500)]]
-    path, stream = landed(spark, tmp_path, parts)
-    out = str(tmp_path / "out")
-    start(event_time_dedup(stream, 5, "30 seconds"), sinks.parquet(out), str(tmp_path / "cp")).awaitTermination()
-    got = sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in spark.read.parquet(out).collect())
-    batch = deduplicate(spark.read.parquet(path), 5, "time", direct=True).filter("type <> 'Z'")
-    assert got == sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in batch.collect())
-    assert len(got) == 5
-    rest = left_open(spark, str(tmp_path / "cp"), 5).collect()
-    got = sorted(got + [(r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in rest])
-    whole = deduplicate(spark.read.parquet(path), 5, "time", direct=True)
-    assert got == sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in whole.collect())
-    assert len(got) == 6
+def short(rows):
+    return sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in rows.collect())
 
 
-@pytest.mark.parametrize("how", [dict(direct=True), dict(chunk_windows=1, span_chunks=2)])
-def test_event_time_batches_equal_batch(spark, tmp_path, how):
+def settle(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+
+
+@pytest.fixture
+def listener(spark):
+    use_rocksdb(spark)
+    listener = CountListener()
+    spark.streams.addListener(listener)
+    yield listener
+    spark.streams.removeListener(listener)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_event_time_stream_equals_batch(spark, tmp_path, listener):
     parts = [[("A", 0), ("A", 4), ("B", 1), ("A", 1)], [("A", 3), ("A", 6), ("B", 5.5)], [("A", 20), ("B", 7), ("A", 20)],
-             [("Z", 40), ("A", 3.5)], [("Z", 500)]]
+             [("Z", 40)], [("A", 10)], [("A", 3.5)], [("Z", 500)]]  # 10 comes just in time, 3.5 a batch too late
     path, stream = landed(spark, tmp_path, parts)
-    out = str(tmp_path / "out")
-    sink = dedup_event_time_batches(sinks.parquet(out), 5, 18, str(tmp_path / "state"), **how)
-    start(stream, sink, str(tmp_path / "cp")).awaitTermination()
-    got = sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in spark.read.parquet(out).collect())
-    late = F.col("summary") == "s11"
-    whole = deduplicate(spark.read.parquet(path).filter(~late), 5, "time", direct=True)
-    rows = spark.read.parquet(path).filter(~late)
-    batch = deduplicate(rows, 5, "time", direct=True).filter("timestamp < '2026-03-01 00:05:00'")
-    assert got == sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in batch.collect())
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    start(event_time_dedup(stream, 5, "18 seconds"), sinks.parquet(out), checkpoint).awaitTermination()
+    settle(spark)
+    kept = spark.read.parquet(path).filter("timestamp <> '2026-03-01 00:00:03.5'")
+    got = short(spark.read.parquet(out))
+    assert got == short(deduplicate(kept, 5, "time", direct=True).filter("type <> 'Z' OR timestamp < '2026-03-01 00:05:00'"))
     assert len(got) == 6
-    sink.close(spark)
-    got = sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in spark.read.parquet(out).collect())
-    assert got == sorted((r["type"], r["seq"], r["count"], r["summary"], r["timestamp"]) for r in whole.collect())
-    assert len(got) == 7
+    got = sorted(got + short(left_open(spark, checkpoint, 5, direct=True)))
+    assert got == short(deduplicate(kept, 5, "time", direct=True)) and len(got) == 7
+    assert sum(n for _, n in listener.late) == 1
+    assert sum(seen for _, seen, _ in listener.timed) == 14 and not sum(b[2] for b in listener.timed)
 
 
-def test_closing_an_empty_stream(spark, tmp_path):
-    dedup_event_time_batches(sinks.parquet(str(tmp_path / "out")), 5, 18, str(tmp_path / "state")).close(spark)
-    assert not (tmp_path / "out").exists()
+def test_event_time_stream_goes_on_after_a_restart(spark, tmp_path, listener):
+    parts = [[("A", 0), ("A", 4), ("B", 1)], [("A", 6), ("B", 5.5), ("A", 5)]]
+    path, stream = landed(spark, tmp_path, parts)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    start(event_time_dedup(stream, 5, "2 seconds"), sinks.parquet(out), checkpoint).awaitTermination()
+    assert short(left_open(spark, checkpoint, 5, direct=True))
+    more = [(100 + r[0], *r[1:]) for r in event_rows([("A", 7), ("A", 14), ("B", 300)])]
+    spark.createDataFrame(more, COLUMNS).coalesce(1).write.mode("append").parquet(path)
+    start(event_time_dedup(stream, 5, "2 seconds"), sinks.parquet(out), checkpoint).awaitTermination()
+    got = short(spark.read.parquet(out).unionByName(left_open(spark, checkpoint, 5, direct=True), allowMissingColumns=True))
+    assert got == short(deduplicate(spark.read.parquet(path), 5, "time", direct=True))
+
+
+def test_rows_without_time_or_number_are_counted_and_kept(spark, tmp_path, listener):
+    rows = [(None, k, "c", "error", t, f"s{i}", None, f"r{i}", 0)
+            for i, (k, t) in enumerate([("A", T0), ("A", None), ("B", None), ("A", T0), (None, T0)])]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, COLUMNS).coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    start(event_time_dedup(stream, 5, "1 second"), sinks.parquet(out), checkpoint).awaitTermination()
+    settle(spark)
+    both = spark.read.parquet(out).unionByName(left_open(spark, checkpoint, 5), allowMissingColumns=True)
+    assert total_count(both).first()["total"] == 5
+    assert sum(b[1] for b in listener.timed) == 5 and sum(b[2] for b in listener.timed) == 2
+    assert sum(n for _, n in listener.late) == 0
+
+
+def test_fold_of_times():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        ts = np.unique(rng.integers(0, 60, 25))
+        n, heads = rng.integers(1, 4, len(ts)), pd.DataFrame({"seq": ts * 10})
+        cut = int(rng.integers(0, len(ts) + 1))
+        want = []
+        for t, k in zip(ts.tolist(), n.tolist()):
+            if want and t - want[-1][0] <= 7:
+                want[-1] = (want[-1][0], t, want[-1][2] + k, want[-1][3])
+            else:
+                want.append((t, t, k, t * 10))
+        first = fold_times(None, ts[:cut], n[:cut], heads[:cut], 7)
+        held = first.pop() if first else None
+        assert first + fold_times(held, ts[cut:], n[cut:], heads[cut:], 7) == want
+
+
+def test_rejects_of_a_stream_are_counted_and_kept(spark, tmp_path, listener):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.log").write_text("one\ntwo @ home\n  \nthree\n")
+    out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
+    rows = counted_events(stream_lines(spark, str(logs)), embedder=ModelEmbedder(PickyModel))
+    start(rows, with_rejects(sinks.parquet(out), sinks.parquet(bad)), str(tmp_path / "cp")).awaitTermination()
+    settle(spark)
+    assert spark.read.parquet(out).count() == 3
+    assert [(r.raw, r.error) for r in spark.read.parquet(bad).select("raw", "error").collect()] == [("two @ home", "ValueError: at sign")]
+    assert [b[1:] for b in listener.batches] == [(3, 1)]
 
 
 def test_text_stream_to_events_with_counts(spark, tmp_path):
