@@ -10,7 +10,7 @@ sets of failed filters, so the audit of all orders works on their counts.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +30,7 @@ MIN_DISTINCT, MAX_CAPITALS = 80, 10
 SYMBOLS = b"#$%&*|"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHARD_ROWS, SHARD_BYTES = 8192, 16 << 20
+FLUSH = 1 << 20
 
 _SHARD = ("shard long, doc_id array<long>, part array<string>, flags array<int>, digest array<binary>, "
           "starts array<long>, columns array<int>, counts array<int>, words array<binary>")
@@ -48,15 +49,18 @@ class Shard:
     def __init__(self):
         self.ids, self.parts, self.flags, self.digests = [], [], [], []
         self.starts, self.columns, self.counts = [0], [], []
-        self.words: dict[bytes, int] = {}
-        self.bytes = 0
+        self.words: defaultdict[bytes, int] = defaultdict()
+        self.words.default_factory = self.words.__len__  # a new word gets the next number
+        self.bytes, self.last = 0, 0
 
     def add(self, doc_id, part, text: bytes):
-        known = self.words
-        own = Counter(text.split())  # on bytes, split knows the six white-space characters of ASCII only
-        self.columns.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, len(own)))
-        self.counts.append(np.fromiter(own.values(), np.int32, len(own)))
-        self.starts.append(self.starts[-1] + len(own))
+        words = text.split()  # on bytes, split knows the six white-space characters of ASCII only
+        columns, counts = np.unique(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)), return_counts=True)
+        if len(columns):
+            self.columns.append(np.diff(columns, prepend=np.int32(self.last)))
+            self.counts.append(counts.astype(np.int32))
+            self.last = columns[-1]
+        self.starts.append(self.starts[-1] + len(columns))
         self.ids.append(doc_id)
         self.parts.append(part)
         self.flags.append(text_flags(text))
@@ -80,8 +84,8 @@ class Shard:
 def shards(docs: DataFrame) -> DataFrame:
     """CSR shards of ``docs`` (doc_id, lang, text): at most 8192 rows or, but for one text, 16 MiB of text each.
 
-    ``starts`` delimits the rows in ``columns`` and ``counts``; ``words`` names the
-    columns of the shard. A task numbers its shards on from its partition's number.
+    ``starts`` delimits the rows in ``columns`` and ``counts``; ``columns`` has each
+    number as its difference to the one before; ``words`` names the columns of the shard. A task numbers its shards on from its partition's number.
     """
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -100,30 +104,45 @@ def shards(docs: DataFrame) -> DataFrame:
 
 
 def numbered(parts: DataFrame) -> DataFrame:
-    """``shard``, ``place``, ``id``: the global number of each word of each shard.
+    """``shard``, ``places``, ``ids``: the global numbers of words of a shard; several rows a shard.
 
     Equal words meet sorted in one partition, whose number is the upper part of
     theirs; the lower part counts its distinct words. Only the shards' vocabularies
-    are shuffled, not the words of the documents, and nothing is held but the last word.
+    are shuffled, not the words of the documents, and a task holds a million numbers at most.
     """
+    def packed(held):
+        shard, place, ids = map(np.concatenate, zip(*held))
+        order = np.argsort(shard, kind="stable")
+        names, first = np.unique(shard[order], return_index=True)
+        offsets = pa.array(np.r_[first, len(shard)].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(offsets, pa.array(place[order])),
+                                           pa.ListArray.from_arrays(offsets, pa.array(ids[order]))], names=["shard", "places", "ids"])
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, at = None, TaskContext.get().partitionId() << 40
+        last, at, held, size = None, TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
             words = batch.column(0)
+            if not len(words):
+                continue
             new = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False) if len(words) > 1 else np.empty(0, bool)
-            ids = at + np.cumsum(np.r_[len(words) > 0 and words[0] != last, new])
-            if len(words):
-                last, at = words[len(words) - 1], int(ids[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids)], names=["shard", "place", "id"])
+            ids = at + np.cumsum(np.r_[words[0] != last, new])
+            last, at = words[len(words) - 1], int(ids[-1])
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), ids))
+            size += len(ids)
+            if size >= FLUSH:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (parts.select("shard", F.posexplode("words").alias("place", "word")).select("word", "shard", "place")
-            .repartition(n, "word").sortWithinPartitions("word").mapInArrow(number, "shard long, place int, id long"))
+            .repartition(n, "word").sortWithinPartitions("word").mapInArrow(number, "shard long, places array<int>, ids array<long>"))
 
 
 def encoded(parts: DataFrame) -> DataFrame:
-    """The shards with ``ids`` in place of ``words``: (place, id) of each word, in any order."""
-    order = numbered(parts).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("ids"))
+    """The shards with ``ids`` in place of ``words``: the (places, ids) of their words, in any order."""
+    order = numbered(parts).groupBy("shard").agg(F.collect_list(F.struct("places", "ids")).alias("ids"))
     return parts.drop("words").join(order, "shard", "left")
 
 
@@ -134,7 +153,7 @@ def matrix_rows(parts: DataFrame) -> DataFrame:
             for shard in range(batch.num_rows):
                 ids, part, flags, digest, starts, columns, counts, names = (c[shard].values for c in batch.columns)
                 starts, counts = starts.to_numpy(), counts.to_numpy().astype(np.int64)
-                place, number = (np.empty(0, np.int64),) * 2 if names is None else (names.field(k).to_numpy() for k in (0, 1))
+                place, number = (np.empty(0, np.int64),) * 2 if names is None else (names.field(k).flatten().to_numpy() for k in (0, 1))
                 dense = np.unique(number, return_inverse=True)[1]  # one column per global number that the shard has
                 names = np.empty(len(place), np.int64)
                 names[place] = dense
@@ -142,7 +161,7 @@ def matrix_rows(parts: DataFrame) -> DataFrame:
                 words = np.add.reduceat(np.append(counts, 0), starts[:-1]) * (np.diff(starts) > 0)
                 # Nonzeros by global column: two columns of a shard are never one word, and this would show it.
                 width = names.max(initial=0) + 1
-                distinct = np.bincount(np.unique(row * width + names[columns.to_numpy()]) // width, minlength=len(ids))
+                distinct = np.bincount(np.unique(row * width + names[np.cumsum(columns.to_numpy())]) // width, minlength=len(ids))
                 failed = ((words < MIN_WORDS) | (100 * distinct < MIN_DISTINCT * words) << 1).astype(np.int32) | flags.to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [ids, part, digest, pa.array(words), pa.array(distinct.astype(np.int64)), pa.array(failed)],
