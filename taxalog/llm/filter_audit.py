@@ -161,7 +161,8 @@ def matrix_rows(parts: DataFrame) -> DataFrame:
                 words = np.add.reduceat(np.append(counts, 0), starts[:-1]) * (np.diff(starts) > 0)
                 # Nonzeros by global column: two columns of a shard are never one word, and this would show it.
                 width = names.max(initial=0) + 1
-                distinct = np.bincount(np.unique(row * width + names[np.cumsum(columns.to_numpy())]) // width, minlength=len(ids))
+                cells = np.sort(row * width + names[np.cumsum(columns.to_numpy())])
+                distinct = np.bincount(cells[np.diff(cells, prepend=-1) > 0] // width, minlength=len(ids))
                 failed = ((words < MIN_WORDS) | (100 * distinct < MIN_DISTINCT * words) << 1).astype(np.int32) | flags.to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [ids, part, digest, pa.array(words), pa.array(distinct.astype(np.int64)), pa.array(failed)],
