@@ -75,11 +75,34 @@ def test_spans_with_checks_and_context():
         return [s.kind for s in pii.find_spans(text)]
     assert kinds("IBAN DE89 3704 0044 0532 0130 00.") == ["iban"] and kinds("IBAN DE88 3704 0044 0532 0130 00.") == []
     assert kinds("my SSN is 123-45-6789") == ["id"] and kinds("part 123-45-6789") == []
+    assert kinds("SSN 666-45-6789") == kinds("SSN 123-00-6789") == kinds("SSN 923-45-6789") == []
+    assert kinds("Konto AT61 1904 3002 3457 3201 BANK") == ["iban"] and kinds("account XX61 1904 3002 3457 3201") == []
     assert pii.find_spans(None) == pii.find_spans("") == []
+    scores = [pii.find_spans(t)[0].score for t in ("x a@b.c y", "mail a@b.c", "order a@b.c")]
+    assert scores[1] > scores[0] > scores[2]
+
+
+def test_secrets():
+    def values(text):
+        return [text[s.start:s.end] for s in pii.find_spans(text) if s.kind == "secret"]
+    digest, mixed = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "q7Rk2LmX9vBt4ZsW8yHd"
+    for text in (f'x token = "{digest}" y', f"API_KEY={digest}", f"'secret': '{digest}'", f"Authorization: Bearer {digest}.", f"your access key {digest}"):
+        assert values(text) == [digest], text
+    for text in (f"commit {digest}", f"sha256: {digest}", digest, f"token_hash = {digest}", 'token = "aaaaaaaaaaaaaaaaaaaaaaa1"',
+                 "the secret of internationalization", "password: required", "password = short1", f"auth {'1' * 40}"):
+        assert values(text) == [], text
+    head = "eyJhbGciOiJIUzI1NiJ9"
+    for key in ("AKIA" + "Q7RK2LMX9VBT4ZSW", "ghp_" + mixed + mixed, f"{head}.eyJzdWIiOiIxIn0.{mixed}"):
+        assert values(f"see {key}, then") == [key]
+    assert values(f"see eyJub3QganNvbg.eyJzdWIiOiIxIn0.{mixed}") == []
+    assert values('password = "hunter2!x",') == ["hunter2!x"] and values("pwd: Tr0ub4dor,") == ["Tr0ub4dor"]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----"
+    assert values(f"a {pem} b") == [pem]
 
 
 def test_long_texts_take_linear_time():
-    for text in ("a" * 400_000, "1" * 400_000, "1 " * 200_000, "a@" * 200_000, "+1" * 200_000, "1." * 200_000, "A" * 400_000):
+    for text in ("a" * 400_000, "1" * 400_000, "1 " * 200_000, "a@" * 200_000, "+1" * 200_000, "1." * 200_000, "A" * 400_000,
+                 "token=" * 70_000, "a1" * 200_000, "pwd:" * 100_000, "-----BEGIN PRIVATE KEY-----A" * 15_000, "a1b2c3d4e5f6g7h8 " * 25_000):
         pii.find_spans(text)
 
 
