@@ -18,7 +18,7 @@ from taxalog import schemas
 from taxalog.functions import text as X
 from taxalog.functions.jsonfields import DEFAULT_STRIP_FIELDS, strip_fields
 from taxalog.functions.vectors import masked_mean, project
-from taxalog.operators import batching, classify, dedup, embed, evaluate, taxonomy
+from taxalog.operators import batching, classify, dedup, embed, evaluate, learned, taxonomy
 from taxalog.operators.compact import compact, compaction_report
 from taxalog.operators.normalize import (Normalizer, by_severity, classify as label_logs, default_time, event_fields, event_json,
                                          normalize, split_rejects)
@@ -303,6 +303,14 @@ def classify_with_model(spark, t):
             .select("conv_id", "turn", "f.path", F.round("f.confidence", 5).alias("confidence")))
 
 
+@registered()
+def classify_learned(spark, t):
+    """The learned lexical vector at its own threshold; a fitted model has no SQL form, tests fit it in plain form."""
+    rows = t["documents"].select("doc_id", "text")
+    found = label_logs(rows, taxonomy.taxonomy(spark), learned.LearnedEmbedder(), raw="text")
+    return found.select("doc_id", "type", "category", "severity", F.round("confidence", 4).alias("confidence"))
+
+
 @registered(f"""WITH {model_sql('SELECT user_id, event_id, event_type AS text FROM events', 'text')}
   SELECT event_id, path, round(sim, 5) AS confidence FROM dv JOIN best USING (v)""")
 def classify_once_per_text(spark, t):
