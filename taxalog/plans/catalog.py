@@ -769,6 +769,68 @@ def page_cursor_limit(spark, t):
     return t["events"].select("event_id", "ts").join(ids, "event_id")
 
 
+def landed_files(spark, t: Tables, record: Column, array: str, size: int = 100, **extra: Column) -> str:
+    """A folder of provider responses made from the events, a page per line, for the registered readers."""
+    rows = t["events"].select(F.floor(F.col("event_id") / size).alias("page_no"), F.col("event_id").alias("o"),
+                              record.alias("r"), *[c.alias(n) for n, c in extra.items()])
+    pages = rows.groupBy("page_no", *extra).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]).alias(array))
+    folder = work_path(spark, "landed")
+    # Files and the lines in them follow the pages, so the reader's own order is that of the events.
+    ranged = pages.repartitionByRange(4, "page_no").sortWithinPartitions("page_no")
+    ranged.select(F.to_json(F.struct(array)).alias("value"), *extra).write.partitionBy(*extra).text(folder)
+    return folder
+
+
+def vercel_record() -> Column:
+    return F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("message"),
+                    F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.lit("edge").alias("source"), F.lit("info").alias("level"))
+
+
+@registered("SELECT event_id, event_type AS raw, CAST(date_trunc('milliseconds', ts) AS TIMESTAMP) AS ts FROM events ORDER BY event_id LIMIT 1250")
+def vercel_reader_limit(spark, t):
+    """Pages in landed files through the registered reader, cut inside a page."""
+    rows = sources.read(spark, "vercel", path=landed_files(spark, t, vercel_record(), "data"), n=1250)
+    return rows.select(F.col("metadata")["id"].cast("long").alias("event_id"), "raw", no_zone("ts").alias("ts"))
+
+
+@registered("""SELECT event_id, event_type AS raw, ts, 'i' || user_id AS instance FROM events
+  WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09 12:00:00' ORDER BY event_id LIMIT 900""")
+def flyio_reader_range(spark, t):
+    """A half-open range and a limit through the registered reader."""
+    record = F.struct(F.col("event_id").cast("string").alias("id"), F.struct(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
+        F.col("event_type").alias("message"), F.concat(F.lit("i"), "user_id").alias("instance")).alias("attributes"))
+    rows = sources.read(spark, "flyio", path=landed_files(spark, t, record, "data"), start=utc(5), end=utc(9, 12), n=900)
+    m = F.col("metadata")
+    return rows.select(m["id"].cast("long").alias("event_id"), "raw", no_zone("ts").alias("ts"), m["instance"].alias("instance"))
+
+
+@registered("""SELECT event_id, ts, event_type AS raw, CASE event_type WHEN 'click' THEN 'edge_logs' ELSE 'auth_logs' END AS tbl FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_type = 'click', (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-03')) // 86400000000
+                                 ORDER BY ts, CAST(event_id AS VARCHAR)) AS r
+    FROM events WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20') WHERE r <= 40""")
+def supabase_reader(spark, t):
+    """Selected tables, a range, and the first rows of each table and day, through the registered reader."""
+    name = (F.when(F.col("event_type") == "click", "edge_logs").when(F.col("event_type") == "view", "auth_logs").otherwise("storage_logs"))
+    record = F.struct(F.col("event_id").cast("string").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"),
+                      F.col("event_type").alias("event_message"))
+    folder = landed_files(spark, t, record, "result", table=name)
+    rows = sources.read(spark, "supabase", path=folder, start=utc(3), end=utc(20), tables="edge_logs,auth_logs", per_chunk=40)
+    m = F.col("metadata")
+    return rows.select(m["id"].cast("long").alias("event_id"), no_zone("ts").alias("ts"), "raw", m["table"].alias("tbl"))
+
+
+@registered("""SELECT row_number() OVER (ORDER BY CASE WHEN event_id < 3 THEN 0 WHEN event_id % 4 > 0 THEN 1 ELSE 2 END, event_id) - 1 AS seq,
+  event_id FROM events""")
+def text_reader_order(spark, t):
+    """Folders of three, most and the other lines: numbers follow file and line, not size."""
+    part = F.when(F.col("event_id") < 3, 0).when(F.col("event_id") % 4 > 0, 1).otherwise(2)
+    folder = work_path(spark, "text")
+    (t["events"].select(part.alias("part"), "event_id").repartitionByRange(4, "part", "event_id").sortWithinPartitions("part", "event_id")
+     .select("part", F.col("event_id").cast("string").alias("value")).write.partitionBy("part").text(folder))
+    return sources.read(spark, "file", path=folder).select("seq", F.col("raw").cast("long").alias("event_id"))
+
+
 @registered("""WITH m AS (SELECT event_type, max(ts) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1)
   SELECT event_type, count(*) AS n_new, min(ts) AS first_new, max(ts) AS mark FROM events JOIN m USING (event_type)
   WHERE ts > m.mark AND ts < TIMESTAMP '2024-01-15' GROUP BY event_type""")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from taxalog import schemas
 from taxalog.functions.text import basename, parse_rfc3339
+from taxalog.storage import stored
 
 # Fixed values of the sources.
 MAX_LINE_BYTES = 1024 * 1024
@@ -78,21 +79,59 @@ def select_tables(text: str | None) -> tuple[str, ...]:
 
 # --- text lines -----------------------------------------------------------------
 
-def _lines(lines: DataFrame, source: str, metadata: Column) -> DataFrame:
+def _lines(lines: DataFrame, source: str, metadata: Column, *keep: str) -> DataFrame:
     text = F.regexp_replace(F.col("value"), r"\r\z", "")
-    return (_raw_log(lines, F.current_timestamp(), source, text, metadata)
+    return (_raw_log(lines, F.current_timestamp(), source, text, metadata, *keep)
             .filter(F.col("raw") != ""))
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file, the start of their split and a number that rises within the split."""
+    return spark.read.text(path, lineSep="\n").select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"))
+
+
+def split_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """``_file, _start``, the ``_first`` number of each split and the lines before it in ``_offset``.
+
+    One thin row per split is counted inside the scan. Splits are numbered in ranges of
+    file name and start: running sums inside a range, and one sum per range before it.
+    """
+    splits = _placed(spark, path).groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    ranged = stored(splits.repartitionByRange("_file", "_start").withColumn("_range", F.spark_partition_id()), "splits")
+    before = F.sum("_n").over(W.partitionBy("_range").orderBy("_file", "_start")) - F.col("_n")
+    ranges = ranged.groupBy("_range").agg(F.sum("_n").alias("_total"))
+    earlier = F.sum("_total").over(W.orderBy("_range")) - F.col("_total")
+    return stored(ranged.withColumn("_before", before).join(ranges.select("_range", earlier.alias("_earlier")), "_range")
+                  .select("_file", "_start", "_first", (F.col("_earlier") + F.col("_before")).alias("_offset")), "offsets")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines, long ones too; ``seq`` is the number of the line over all files by name, from 0, blank ones counted.
+
+    The scan's own order follows file sizes, so the text is scanned once more to count the
+    lines of each split. The offsets are a stored table: Spark broadcasts it while it is below
+    its limit and joins by shuffle beyond.
+    """
+    lines = _placed(spark, path).join(split_offsets(spark, path), ["_file", "_start"])
+    seq = F.col("_offset") + F.col("_at") - F.col("_first")
+    rows = lines.select("value", F.create_map(F.lit("file"), basename("_file")).alias("_name"), seq.alias("_seq"))
+    return _lines(rows, "file", F.col("_name"), "_seq").withColumn("seq", F.col("_seq")).drop("_seq")
+
+
 def text_lines(spark: SparkSession, path: str, n: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Lines of text files, and apart from them the lines over 1 MiB.
+    """Lines of text files as numbered by ``numbered_lines``, and apart from them the lines over 1 MiB.
 
-    ``n`` over 0 limits the number of lines, else all are returned.
+    ``n`` over 0 keeps the first lines, else all are returned.
     """
-    lines = _lines(spark.read.text(path, lineSep="\n"), "file", _file_name())
+    lines = numbered_lines(spark, path)
     fits = F.octet_length("raw") <= MAX_LINE_BYTES
-    wanted = lines.filter(fits)
-    return limit(wanted, n), lines.filter(~fits)
+    return first_lines(lines.filter(fits), n), lines.filter(~fits)
+
+
+def first_lines(lines: DataFrame, n: int) -> DataFrame:
+    return limit(lines.orderBy("seq"), n) if n > 0 else lines
 
 
 def _file_name() -> Column:
@@ -217,8 +256,7 @@ def next_marks(marks: DataFrame, taken: DataFrame, table: str = "table", ts: str
 # --- registry -----------------------------------------------------------------------
 
 def _read_file(spark, path, n=0, **_):
-    lines, too_long = text_lines(spark, path)
-    return limit(lines.unionByName(too_long), n)
+    return first_lines(numbered_lines(spark, path), n)
 
 
 def _read_stdin(spark, **_):

@@ -34,6 +34,38 @@ def test_text_lines(spark, tmp_path):
     assert S.read(spark, "file", path=str(log), n=2).count() == 2
 
 
+@pytest.mark.parametrize("split", [16, 64, 4096, 128 << 20])
+def test_lines_are_numbered_by_file_and_line(spark, tmp_path, split):
+    texts = {"a.log": "lone", "b.log": "".join(f"b{i}\r\n" + "\n" * (i % 3) for i in range(200)), "c.log": "", "d.log": "\n" * 90 + "end",
+             "e.log": "same\nsame\n" + "x" * (S.MAX_LINE_BYTES + 1) + "\nafter\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    want, at = [], 0
+    for name in sorted(texts):
+        lines = texts[name].split("\n")
+        lines = lines[:-1] if lines[-1] == "" else lines
+        want += [(at + i, name, line.rstrip("\r")) for i, line in enumerate(lines) if line.rstrip("\r")]
+        at += len(lines)
+    if split < 4096:  # a task per split: no megabyte there
+        del want[-2]
+        (tmp_path / "e.log").write_text("same\nsame\nafter\n")
+        want[-1] = (want[-1][0] - 1, *want[-1][1:])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = S.read(spark, "file", path=str(tmp_path)).collect()
+        assert sorted((r["seq"], r["metadata"]["file"], r["raw"]) for r in rows) == want
+        first = S.read(spark, "file", path=str(tmp_path), n=7).collect()
+        assert [(r["seq"], r["metadata"]["file"], r["raw"]) for r in first] == want[:7]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_no_line_at_all(spark, tmp_path):
+    (tmp_path / "empty.log").write_text("")
+    assert S.read(spark, "file", path=str(tmp_path)).collect() == []
+
+
 def test_vercel(spark, tmp_path):
     entry = {"id": "log_abc", "message": "GET /api/hello 200 in 12ms", "timestamp": 1700000000000, "source": "lambda", "level": "info",
              "proxy": {"statusCode": 200, "path": "/api/hello", "method": "GET", "host": "my-app.vercel.app"}}
