@@ -26,7 +26,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
     counts = [F.size(F.filter("pii", lambda s, k=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
-    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    secrets = F.size(F.filter("pii", lambda s: s["kind"] == "secret")).cast("long")
+    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"),
+                       secrets.alias("n_secret"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,7 @@ def test_pii_query(spark):
     for r in catalog.op2(spark, SMALL).collect():
         own = ",".join(f"{k}:{a}:{b}" for k, a, b in want[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(own.encode()).hexdigest()
+        assert r.n_spans == len([x for x in r.spans.split(",") if x]) and r.n_secret == r.spans.count("secret:")
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want[r.doc_id]) for k in pii.BASE]
 
 
