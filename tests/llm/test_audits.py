@@ -123,6 +123,26 @@ def test_repeats_keep_clashing_columns_and_empty_tables(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeats_keep_one_python_worker_a_task(spark):
+    frame = spark.createDataFrame(odd_rows(), SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = repeats.remove_repeats(frame, keep_first=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above, python = [], 0  # the nodes above a line of the tree, with their depths
+    for line in plan.splitlines():
+        depth = len(re.match(r"[\s:+-]*", line)[0])
+        above = [x for x in above if x[0] < depth]
+        if "ArrowEvalPython" in line:
+            stage = [node for _, node in above]
+            last = max((k for k, node in enumerate(stage) if "Exchange" in node), default=-1)
+            assert not any("ArrowEvalPython" in node for node in stage[last + 1:]), plan
+            python += 1
+        above.append((depth, line))
+    assert python == 3, plan
+
+
 def test_op11_query_is_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = entry_points.queries()["op11_repeats"](spark, SMALL).collect()
