@@ -41,15 +41,16 @@ def plan_records(pages: DataFrame) -> DataFrame:
     Payloads under ``MIN_REVISIT`` bytes, the smallest page_id of a group and rows
     without page_id in a group of such rows have a null ``first``. A null html is
     an empty payload; repeated rows of the smallest page_id are all responses.
-    Digests are grouped within tasks before the shuffle, only those that occur
-    twice are joined, and a digest that a third of the pages have is on the side
+    Digests are grouped within tasks before the shuffle, and only those that occur
+    twice are stored and joined: where they are few, Spark broadcasts them and no
+    payload is shuffled; else a digest that a third of the pages have is on the side
     of the pages, which adaptive execution splits. Other columns are ignored.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    thin = stored(rows.where(F.octet_length("payload") >= MIN_REVISIT).select("page_id", "digest"), "digests")
-    groups = (thin.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-              .select(F.col("digest").alias("_digest"), "first"))
+    groups = stored(rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest")
+                    .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+                    .select(F.col("digest").alias("_digest"), "first"), "groups")
     return (rows.join(groups, (F.col("digest") == F.col("_digest")) & (F.octet_length("payload") >= MIN_REVISIT), "left")
             .withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
             .drop("_digest"))

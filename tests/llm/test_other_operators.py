@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from taxalog.llm import catalog, chat, embedding_dedup, pii, url_filter, warc
+from taxalog.storage import stored
 
 SMALL = "/root/testdata/sf0.001"
 URLS = ["http://A.Example.org/es/x", "https://example.org/en/19?q", "http://b.org", "http://b.org/", "http://notorg/", "x://shop.com/fr/",
@@ -137,6 +138,24 @@ def test_archive_round_trip(spark, monkeypatch):
     assert warc.read_archives(warc.write_archives(warc.plan_records(frame.where("false")))).count() == 0
 
 
+def test_only_repeated_payloads_are_stored_and_no_payload_shuffled_for_few(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(warc, "stored", lambda rows, name: kept.append(stored(rows, name)) or kept[-1])
+    pages = [(k, "u", f"page {k} " * 50) for k in range(300)] + [(k, "u", "same " * 50) for k in (400, 401, 402)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    records = warc.plan_records(frame)
+    assert [r.first for r in kept[0].collect()] == [400] and len(kept) == 1
+    assert "hashpartitioning" not in records._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.page_id for r in records.where("first = 400").collect()) == [401, 402] and records.where("first IS NULL").count() == 301
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # many groups: payloads are shuffled to them
+    try:
+        shuffled = warc.plan_records(frame)
+        assert "hashpartitioning" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, shuffled.collect())) == sorted(map(str, records.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_broken_archives_are_reported(spark):
     row = spark.createDataFrame([(k, "u", f"page {k} " * 50) for k in range(20)], "page_id long, url string, html string").coalesce(1)
     content = bytes(warc.write_archives(warc.plan_records(row).coalesce(1)).first().content)
