@@ -927,7 +927,8 @@ def severity_routing(spark, t):
 # --- streams ------------------------------------------------------------------------------
 
 def file_stream(spark: SparkSession, t: Tables, name: str) -> DataFrame:
-    return spark.readStream.schema(t[name].schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.path)
+    """A table as a stream, be it one file or a folder of files; a pattern is the form of path that a stream takes for both."""
+    return spark.readStream.schema(t[name].schema).parquet(f"{t.path}/{name}.parque[t]")
 
 
 def drained(events: DataFrame, name: str, through=lambda sink: sink, rest=None) -> DataFrame:

@@ -27,6 +27,16 @@ def test_query_equals_sql(spark, db, name):
     assert rows_of(out.columns, out.collect()) == want
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["stream_counts"])
+def test_stream_of_a_folder_of_files(spark, db, tmp_path, name):
+    spark.read.parquet(f"{TABLES}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = entry_points.queries()[name](spark, str(tmp_path))
+    names, want = sql_rows(db, entry_points.oracle_sql()[name])
+    assert sorted(out.columns) == names
+    assert rows_of(out.columns, out.collect()) == want
+
+
 @needs_tables
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
