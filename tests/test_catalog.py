@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["stream_counts"])
+@pytest.mark.parametrize("name", ["stream_direct", "stream_counts"])
 def test_stream_of_a_folder_of_files(spark, db, tmp_path, name):
     spark.read.parquet(f"{TABLES}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     out = entry_points.queries()[name](spark, str(tmp_path))
