@@ -1,6 +1,7 @@
 """Operators 11 to 13 against brute force over small tables with odd rows, and through their queries."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import re
@@ -248,3 +249,32 @@ def test_queries_equal_sql(spark, name):
     out = entry_points.queries()[name](spark, SMALL)
     names, want = sql_rows(database(SMALL), entry_points.oracle_sql()[name])
     assert sorted(out.columns) == names and rows_of(out.columns, out.collect()) == want
+
+
+def test_filter_audit_shards_come_in_pieces(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, words(rng, 9000), "en", "a") for k in range(60)] + [(60, None, "en", "a")]
+    parts = filter_audit.shards(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    blocks = [p for p in parts if p["block"] is not None]
+    assert {p["shard"] for p in parts} == {0} and [p["block"] for p in blocks] == list(range(len(blocks)))
+    assert len(blocks) == 5 and max(len(p["columns"]) for p in blocks) < filter_audit.BLOCK_CELLS + 9000
+    names = [w for p in sorted((p for p in parts if p["words"] is not None), key=lambda p: p["first"]) for w in p["words"]]
+    assert len(names) == len(set(names)) and max(len(p["words"] or ()) for p in parts) <= filter_audit.BLOCK_WORDS
+    cells = [(i, collections.Counter({names[c].decode(): n for c, n in zip(np.cumsum(p["columns"])[a:b], p["counts"][a:b])}))
+             for p in blocks for i, a, b in zip(p["doc_id"], p["starts"], p["starts"][1:])]
+    assert cells == [(i, collections.Counter((text or "").split())) for i, text, _, _ in rows]
+    found = filter_audit.judged(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_distinct"]) for r in found} == {(i, c.total(), len(c)) for i, c in cells}
+
+
+def test_a_shard_is_freed_without_the_cyclic_collector():
+    gc.collect()
+    gc.disable()
+    try:
+        shard = filter_audit.Shard(0)
+        shard.add(1, "en", b"one two one")
+        list(shard.rest())
+        del shard
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
