@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -138,3 +139,46 @@ def test_query_equals_plain_search(spark):
     for r, (name, sim) in zip(got, want):
         assert r["confidence"] == pytest.approx(sim, abs=2e-4)
         assert f"{r['type']}.{r['category']}" == name or sim < L.LearnedEmbedder.threshold
+
+
+ODD_TEXTS = ["", " ", "HTTPServer 404 parseXMLFile9Abc iPhone aB ABc Ab a A", "İstanbul ÀÉ Straße ΑΣ σίγμαΣ", "𝔘nicode 𐐀bc 漢字kanjiX", "²x 12.404.3 404 x404y 4045",
+             "x" * 70 + "Y" * 70 + "İ" * 70 + "𝔘" * 70, "one two one two one", "a_b-c/d 500:x 501 a501B", "retry " * 300]
+
+
+def test_words_are_those_of_the_text_with_humps_parted():
+    hump = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+    for text in ODD_TEXTS + [text for _, text in flat(LINES)]:
+        assert L.line_words(text) == [w[:64].lower() for w in L._WORD.findall(hump.sub(" ", text))]
+
+
+def test_vectors_are_sums_over_plain_features(monkeypatch):
+    model = L.LearnedModel(L.labelled() + [("A.x", text) for text in ODD_TEXTS])
+    texts, rng = ODD_TEXTS + [text for _, text in flat(LINES)], np.random.default_rng(4)
+    texts += [" ".join("".join(map(chr, rng.choice([*range(97, 123), 228, 1086, 28450, 120120], rng.integers(1, 9)))) for _ in range(60)) for _ in range(40)]
+
+    def plain(text):
+        rows = [(model.place[f], weight) for f, weight in plain_features(text).items() if model.place[f] >= 0]
+        return sum((weight * model.table[place].astype(float) for place, weight in rows), np.zeros(len(model.names)))
+    want = np.array([plain(t) for t in texts])
+    for slice_size, cache in ((1, 3), (200, 200_000), (1 << 19, 50)):
+        monkeypatch.setattr(L, "SLICE", slice_size), monkeypatch.setattr(L, "MAX_KNOWN", cache)
+        model.known.clear()
+        np.testing.assert_allclose(model.embed(texts), want, atol=1e-4)
+        assert np.array_equal(model.embed(texts[::-1])[::-1], model.embed(texts))
+    assert model.embed([]).shape == (0, len(model.names))
+
+
+def test_pairs_and_words_met_first_cost_little():
+    """Time in units of that for the words alone, which was 18 when every new pair was a lookup with a vector of its own."""
+    rng = np.random.default_rng(8)
+    parts = ["an", "ber", "co", "de", "er", "ing", "lo", "mo", "re", "st", "ta", "un"]
+    words = ["".join(rng.choice(parts, rng.integers(2, 5))) for _ in range(20_000)]
+    texts = [" ".join(rng.choice(words, 500)) for _ in range(200)]
+
+    def seconds(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+    alone = min(seconds(lambda: [L.line_words(t) for t in texts]) for _ in range(3))
+    models = [L.LearnedModel(L.labelled()) for _ in range(3)]
+    assert min(seconds(lambda: m.embed(texts)) for m in models) < 10 * alone
