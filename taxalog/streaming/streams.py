@@ -41,7 +41,7 @@ def direct(logs: DataFrame, labels: DataFrame | None = None, embedder=None, opti
 def with_rejects(sink: Sink, rejects: Sink) -> Sink:
     """Events to one sink, rows that the model failed on, with their ``error``, to the other."""
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows.persist(StorageLevel.DISK_ONLY)  # a batch has any size, and the model's workers need the memory
         try:
             good, bad = split_rejects(rows)
             sink(good, batch_id)
